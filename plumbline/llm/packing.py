@@ -354,7 +354,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
 def _merger(window: int) -> Callable:
     def merge(key: tuple, part: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(part.column(c).to_pylist() for c in ("sequence_id", "doc_id", "start", "left", "doc_tokens")),
+        rows = sorted(zip(*(part.column(c).to_pylist() for c in ("sequence_id", "id", "start", "left", "doc_tokens")),
                           strict=True), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
         packer = Packer((1 << 62) | (key[0].as_py() << 32), window)
         packer.held = {0: [(doc, start, ids, total) for _, doc, start, ids, total in rows]}

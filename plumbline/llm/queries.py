@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, packing, quality, secrets, warc
+from plumbline.llm import exact_dedup, lm_score, packing, quality, secrets, simhash, toxicity, warc
 from plumbline.llm.common import table
 
 
@@ -18,6 +18,20 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "n_repeat_words", "base_failed", "kept", "lines_removed", "bytes_removed")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, machine).select(
+        F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(spark, sf_dir, "documents"), width=3, radius=2)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        "component_id")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -27,6 +41,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda s: ~s["example"])).cast("long").alias("n_live"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    frequent, network = lm_score.fit(docs)
+    return lm_score.score(docs, frequent, network).withColumnRenamed("id", "doc_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -47,7 +67,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_quality_rules, op6_secret_scan, op8_exact_dedup, op9_packing, op10_warc_derivatives)
+    f.__name__: f for f in (op3_quality_rules, op4_toxicity, op5_simhash, op6_secret_scan, op7_lm_score, op8_exact_dedup, op9_packing, op10_warc_derivatives)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -166,8 +166,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
              .select(F.col("id").alias("_key"), live.alias("_live")).where(F.size("_live") > 0)
              .dropDuplicates(["_key"]))
     joined = keyed.join(found, "_key", "left").drop("_key")
-    at = docs.columns.index(text_col)
-    counted = docs.columns.index(count_col) if count_col else None
+    names = docs.columns
+    at = names.index(text_col)
+    counted = names.index(count_col) if count_col else None
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, 500):
@@ -181,6 +182,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
                 columns[counted] = pa.array(
                     [len(n) if s and n is not None else o for n, s, o in zip(new, spans, old, strict=True)],
                     batch.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)

@@ -164,13 +164,150 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select("id", "fp", "component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-             radius: int = 2) -> DataFrame:
-    """``docs`` with one row of every component, the one with the smallest id; columns unchanged.
+#: Seeds of the fingerprints that propose near copies for the exact check.
+SEEDS = (42, 43, 44)
+
+
+def word_fingerprints(text: str | None, seeds: tuple[int, ...] = SEEDS) -> list[int]:
+    """Unsigned SimHashes of the set of distinct words, one for each seed; A-Z in lower case."""
+    words = sorted(set((text or "").encode("utf-8", "surrogatepass").lower().split()))
+    if not words:
+        return [0] * len(seeds)
+    out = []
+    for seed in seeds:
+        hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], "<u8")
+        ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(((2 * ones > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum()))
+    return out
 
-    A component whose ids are all null, or rows repeated with the smallest id, keep one row of
-    them by their text digest.
+
+def shingles(text: str | None, width: int = 5) -> set[bytes]:
+    """The distinct ``width``-word shingles; fewer words make one, none make none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return set()
+    return {b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def _stars(prints: np.ndarray, nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each node's edge to the neighbour with the most neighbours (ties: the smaller node), so near
+    copies meet the text they were copied from. Neighbours differ in ``most`` bits or fewer."""
+    degree = np.zeros(len(nodes), np.int64)
+    centre = np.zeros(len(nodes), np.int64)
+    for finish in (False, True):
+        rank = np.argsort(np.argsort(np.lexsort((nodes, -degree)), kind="stable"), kind="stable") if finish else None
+        for i in range(0, len(nodes), _BLOCK):
+            apart = np.zeros((len(prints[i:i + _BLOCK]), len(nodes)), np.int16)
+            for k in range(prints.shape[1]):
+                apart += np.bitwise_count(prints[i:i + _BLOCK, k, None] ^ prints[None, :, k])
+            near = apart <= most
+            if finish:
+                centre[i:i + _BLOCK] = np.where(near, rank[None, :], len(nodes)).argmin(axis=1)
+            else:
+                degree[i:i + _BLOCK] = near.sum(axis=1)
+    moved = nodes != nodes[centre]
+    return nodes[moved], nodes[centre][moved]
+
+
+def _proposer(most: int, prints: int):
+    """Over rows sorted by bucket (four key columns, the prints, the node): star edges."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 5 + prints), np.int64)
+
+        def out(rows: np.ndarray) -> pa.RecordBatch:
+            edges = [np.zeros((2, 0), np.int64)]
+            if len(rows):
+                cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
+                starts, stops = np.r_[0, cut], np.r_[cut, len(rows)]
+                for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
+                    if e - s > 1:
+                        edges.append(np.stack(_stars(rows[s:e, 4:-1].copy().view(np.uint64), rows[s:e, -1], most)))
+            src, dst = np.concatenate(edges, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+        for batch in frames:
+            if batch.num_rows:
+                rows = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+                other = np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))
+                last = int(other[-1]) + 1 if len(other) else 0
+                if last:
+                    yield out(rows[:last])
+                held = rows[last:]
+        yield out(held)
+
+    return run
+
+
+def _verify(width: int, similarity: float):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, 100):
+            known: dict[int, set[bytes]] = {}  # a centre's shingles serve its neighbours
+            keep = []
+            for src, dst, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = shingles(x, width)
+                b = known.get(dst)
+                if b is None:
+                    known.clear()
+                    b = known[dst] = shingles(y, width)
+                keep.append(len(a & b) >= similarity * len(a | b))
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+                similarity: float = 0.8, radius: int = 3, most: int = 30) -> DataFrame:
+    """(node, component) over the ids of texts in a group of near copies, component the smallest id.
+
+    Three SimHashes of the word set propose: covering tables of each bring together every pair
+    within ``radius`` bits of one of them, and pairs within ``most`` bits over all three become
+    candidates, each text with the most central one around it. A candidate links only if the two
+    texts' ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. Null ids
+    and texts without words are never in a group.
     """
-    found = near_components(docs, id_col, text_col, width, radius)
-    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(f"`{id_col}`").eqNullSafe(F.col("_drop")), "left_anti")
+    names = [f"f{k}" for k in range(len(SEEDS))]
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames, 500):
+            made = np.array([word_fingerprints(x.as_py()) for x in batch.column(1)], np.uint64).reshape(-1, len(SEEDS))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(made[:, k].copy().view(np.int64), pa.int64()) for k in range(len(SEEDS)))],
+                names=["id", *names])
+
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where(
+        "id is not null")
+    rows = materialise(texts.mapInArrow(run, "id long, " + ", ".join(f"{n} long" for n in names)), "prints")
+    # equal prints: one node, to which the others are candidates themselves
+    nodes = rows.where(" or ".join(f"{n} <> 0" for n in names)).groupBy(*names).agg(F.min("id").alias("node"))
+    alike = rows.join(nodes, names).where("id <> node").select(F.col("id").alias("src"), F.col("node").alias("dst"))
+    cover = masks(radius, 0)
+    tables = F.array(*[F.struct(F.lit(k * len(cover) + t).cast("long").alias("t"), F.col(n).bitwiseAND(F.lit(m)).alias("k"))
+                       for k, n in enumerate(names) for t, m in enumerate(cover)])
+    first = nodes.select(*names, "node", F.explode(tables).alias("x")).select(
+        F.col("x.t").alias("t0"), F.col("x.k").alias("k0"), *names, "node")
+    sizes = first.groupBy("t0", "k0").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = first.join(sizes, ["t0", "k0"])
+    none = F.lit(0).cast("long")
+    small = sized.where(F.col("n") <= LIMIT).select("t0", "k0", none.alias("t1"), none.alias("k1"), *names, "node")
+    inner = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.when(F.col("t0") < len(cover), F.col("f0")).when(
+        F.col("t0") < 2 * len(cover), F.col("f1")).otherwise(F.col("f2")).bitwiseAND(F.lit(m)).alias("k"))
+        for t, m in enumerate(masks(radius, 1))])
+    large = (sized.where(F.col("n") > LIMIT).select("t0", "k0", *names, "node", F.explode(inner).alias("x"))
+             .select("t0", "k0", F.col("x.t").alias("t1"), F.col("x.k").alias("k1"), *names, "node"))
+    keys = ["t0", "k0", "t1", "k1"]
+    proposed = (small.unionByName(large).repartition(*keys).sortWithinPartitions(*keys)
+                .mapInArrow(_proposer(most, len(names)), "src long, dst long"))
+    edges = materialise(proposed.unionByName(alike).distinct(), "candidates")
+    checked = (edges.join(texts.toDF("src", "x"), "src").join(texts.toDF("dst", "y"), "dst")
+               .select("src", "dst", "x", "y").mapInArrow(_verify(width, similarity), "src long, dst long"))
+    return components(checked)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
+             similarity: float = 0.8, radius: int = 3) -> DataFrame:
+    """``docs`` with one row of every group of near copies, that with the smallest id; the columns
+    are unchanged, rows outside any group and rows with a null id stay, an empty table stays empty."""
+    drop = (near_copies(docs, id_col, text_col, width, similarity, radius).where("node <> component")
+            .select(F.col("node").alias("_drop")))
+    return docs.join(drop, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")

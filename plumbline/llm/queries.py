@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, exact_dedup, lm_score, packing, quality, secrets, simhash, toxicity, warc
+from plumbline.llm import bpe, exact_dedup, lm_score, packing, quality, secrets, simhash, suffix_dedup, toxicity, warc
 from plumbline.llm.common import table
 
 
@@ -20,6 +20,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans",
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -75,7 +81,7 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op3_quality_rules, op4_toxicity, op5_simhash, op6_secret_scan, op7_lm_score, op8_exact_dedup, op9_packing, op10_warc_derivatives)
+    f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_quality_rules, op4_toxicity, op5_simhash, op6_secret_scan, op7_lm_score, op8_exact_dedup, op9_packing, op10_warc_derivatives)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,31 @@ def tsqr(df: DataFrame, rows: Sequence[Column], by: str | None = None) -> dict[i
     return out
 
 
+def sum_vectors(df: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all blocks of rows of ``of(block)``, a vector of ``size`` numbers.
+
+    Tasks add up their batches, 64 salts add up the tasks, the driver the salts.
+    """
+
+    def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in frames:
+            if batch.num_rows:
+                total += of(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in frames:
+            for raw in batch.column(0).to_pylist():
+                total += np.frombuffer(raw)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    partial = df.mapInArrow(fold, "v binary").withColumn("_salt", F.spark_partition_id() % 64)
+    merged = partial.repartition("_salt").drop("_salt").mapInArrow(merge, "v binary").toArrow()
+    return np.sum([np.frombuffer(raw) for raw in merged.column("v").to_pylist()], axis=0) if merged.num_rows else np.zeros(size)
+
+
 def _factors(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()),
                                        pa.array([np.ascontiguousarray(r).tobytes() for r in parts.values()], pa.binary())],

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.errors import ConvergenceError, NumericalError, ValidationError
-from plumbline.functions.numeric import is_finite, linear, sigmoid, softplus
-from plumbline.operators.linalg import pivoted_solve, qr_r, tsqr
+from plumbline.functions.numeric import is_finite, linear, sigmoid
+from plumbline.operators.linalg import pivoted_solve, qr_r, sum_vectors, tsqr
 from plumbline.schema import FeatureSchema
 
 DIRECT, GRADIENT, STEP = "direct_solution", "gradient_tolerance", "step_tolerance"
@@ -146,6 +146,20 @@ class RidgeRegression:
         return FittedLinear(self, *_fit_as(df, columns, target, schema, weight, self.alpha, self.fit_intercept))
 
 
+def _curvature(block: np.ndarray, theta: np.ndarray, n: int, m: int, whole: bool = True) -> np.ndarray:
+    """Loss and, if ``whole``, gradient and Hessian of rows (x.., weight, target), flat."""
+    x, v, y = block[:, :n], block[:, n], block[:, n + 1]
+    if m > n:
+        x = np.hstack([x, np.ones((len(x), 1))])
+    z = x @ theta
+    loss = float(v @ (np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - y * z))
+    if not whole:
+        return np.array([loss])
+    e = np.exp(-np.abs(z))
+    p = np.where(z >= 0, 1 / (1 + e), e / (1 + e))
+    return np.r_[loss, x.T @ (v * (p - y)), (x.T @ (x * (v * p * (1 - p))[:, None])).ravel()]
+
+
 @dataclass(frozen=True)
 class FittedLogistic:
     spec: LogisticRegression
@@ -189,8 +203,8 @@ class FittedLogistic:
 class LogisticRegression:
     """Binary logistic loss plus squared coefficients / (2C); the intercept is free.
 
-    Damped Newton: each round is one aggregate for gradient and Hessian and one that tries several
-    step sizes at once; the small system is solved on the driver. Classes are those of positive
+    Damped Newton: a round is one pass that sums objective, gradient and Hessian in numpy blocks, and
+    one more only if the whole step doesn't improve enough; the small system is solved on the driver. Classes are those of positive
     weight, in ascending order.
     """
 
@@ -200,7 +214,6 @@ class LogisticRegression:
     max_iterations: int = 100
 
     task = "classification"
-    _TRIES = 6
 
     def __post_init__(self) -> None:
         if not (math.isfinite(self.c) and self.c > 0):
@@ -221,35 +234,27 @@ class LogisticRegression:
         scale = max(top, penalty)
         ridge = penalty / scale
         n, m = len(columns), len(columns) + self.fit_intercept
-        x = [F.col(f"`{c}`") for c in columns] + ([F.lit(1.0)] if self.fit_intercept else [])
-        y = F.when(F.col(f"`{target}`") == labels[1], 1.0).otherwise(0.0)
-        v = w / F.lit(scale)
-
-        def z(theta: np.ndarray) -> Column:
-            return linear(columns, theta[:n], theta[n] if self.fit_intercept else 0.0)
-
-        def loss(theta: np.ndarray) -> Column:
-            return F.sum(v * (softplus(z(theta)) - y * z(theta)))
+        prepared = used.select(
+            *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)],
+            (w / F.lit(scale)).alias("v"), F.when(F.col(f"`{target}`") == labels[1], 1.0).otherwise(0.0).alias("y")).persist()
+        try:
+            return self._solve(prepared, n, m, ridge, labels, schema)
+        finally:
+            prepared.unpersist()
+
+    def _solve(self, prepared, n, m, ridge, labels, schema) -> FittedLogistic:
+        def penalized(theta: np.ndarray, sums: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            beta = np.r_[theta[:n], np.zeros(m - n)]
+            hessian = sums[1 + m:].reshape(m, m).copy()
+            hessian[np.arange(n), np.arange(n)] += ridge
+            return float(sums[0]) + 0.5 * ridge * float(beta @ beta), sums[1:1 + m] + ridge * beta, hessian
 
         def full(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-            prepared = used.select(*[c.alias(f"x{i}") for i, c in enumerate(x)], v.alias("v"), y.alias("y"), z(theta).alias("z")
-                                   ).withColumn("p", sigmoid(F.col("z")))
-            e = F.col("v") * (F.col("p") - F.col("y"))
-            k = F.col("v") * F.col("p") * (1 - F.col("p"))
-            xs = [F.col(f"x{i}") for i in range(m)]
-            found = list(prepared.agg(
-                F.sum(F.col("v") * (softplus(F.col("z")) - F.col("y") * F.col("z"))), *[F.sum(e * a) for a in xs],
-                *[F.sum(k * xs[i] * xs[j]) for i in range(m) for j in range(i + 1)]).first())
-            h = np.zeros((m, m))
-            h[np.tril_indices(m)] = found[1 + m:]
-            h = h + np.tril(h, -1).T
-            beta = np.r_[theta[:n], np.zeros(m - n)]
-            h[np.arange(n), np.arange(n)] += ridge
-            return found[0] + 0.5 * ridge * float(beta @ beta), np.array(found[1:1 + m]) + ridge * beta, h
+            return penalized(theta, sum_vectors(prepared, 1 + m + m * m, lambda block: _curvature(block, theta, n, m)))
 
         theta = np.zeros(m)
+        objective, gradient, hessian = full(theta)
         for done in range(self.max_iterations + 1):
-            objective, gradient, hessian = full(theta)
             if not (math.isfinite(objective) and np.isfinite(gradient).all()):
                 raise NumericalError("the objective or gradient is not finite", "rescale the features or lower C")
             if np.abs(gradient).max(initial=0.0) <= self.tolerance:
@@ -260,28 +265,33 @@ class LogisticRegression:
             if rank < m:
                 raise NumericalError("the Hessian is rank deficient", "remove redundant features or lower C")
             slope = float(gradient @ direction)
-            accepted = None
-            for first in range(0, 30, self._TRIES):
-                steps = [0.5 ** i for i in range(first, min(first + self._TRIES, 30))]
-                tried = used.agg(*[loss(theta - s * direction).alias(f"l{i}") for i, s in enumerate(steps)]).first()
-                for s, value in zip(steps, tried, strict=True):
-                    beta = (theta - s * direction)[:n]
-                    value = value + 0.5 * ridge * float(beta @ beta)
-                    if math.isfinite(value) and value <= objective - 1e-4 * s * slope:
-                        accepted = (s, value)
-                        break
-                if accepted:
-                    break
-            if not accepted:
-                raise ConvergenceError("the line search made no progress", "rescale the features or lower C")
-            step, value = accepted
+            # the whole step's own gradient and Hessian come with its objective: usually the only pass
+            step, found = 1.0, full(theta - direction)
+            if not self._enough(found[0], objective, step, slope):
+                step = self._shorter(prepared, theta, direction, objective, slope, n, m, ridge)
+                found = full(theta - step * direction)
             moved, size = step * np.abs(direction).max(), np.abs(theta).max(initial=0.0)
             theta = theta - step * direction
+            objective, gradient, hessian = found
             if moved <= self.tolerance * (1 + size):
-                return self._fitted(theta, n, labels, schema, SolverReport(done + 1, value, STEP))
+                return self._fitted(theta, n, labels, schema, SolverReport(done + 1, objective, STEP))
         raise ConvergenceError(f"no convergence after {self.max_iterations} iterations",
                                "raise max_iterations, rescale the features or lower C")
 
+    @staticmethod
+    def _enough(value: float, objective: float, step: float, slope: float) -> bool:
+        return math.isfinite(value) and value <= objective - 1e-4 * step * slope
+
+    def _shorter(self, prepared, theta, direction, objective, slope, n, m, ridge) -> float:
+        """The first halved step, of 29, that improves enough: one pass tries all of them."""
+        steps = [0.5 ** i for i in range(1, 30)]
+        thetas = [theta - s * direction for s in steps]
+        sums = sum_vectors(prepared, len(steps), lambda block: np.array([_curvature(block, t, n, m, False)[0] for t in thetas]))
+        for s, t, value in zip(steps, thetas, sums, strict=True):
+            if self._enough(float(value) + 0.5 * ridge * float(t[:n] @ t[:n]), objective, s, slope):
+                return s
+        raise ConvergenceError("the line search made no progress", "rescale the features or lower C")
+
     def _fitted(self, theta, n, labels, schema, report) -> FittedLogistic:
         return FittedLogistic(self, tuple(map(float, theta[:n])), float(theta[n]) if self.fit_intercept else 0.0,
                               (labels[0], labels[1]), schema, report)

@@ -82,12 +82,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; edge cases as :func:`exact_dedup`."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    # plain equality on columns without nulls: the window below then needs no exchange of its own
+    keys = ["_digest", "_length", "_known", "_id"]
     found = groups(docs, id_col, text_col, salts).select(
-        F.col("keep_id").alias("_keep_id"), F.col("keep_length").alias("_keep_length"), F.col("digest").alias("_digest"))
-    own = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("long"), "_length": F.length(text).cast("long"),
-                            "_sha": F.unhex(F.sha2(normalised(text), 256))})
-    kept = own.join(found, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_length") == F.col("_keep_length"))
-                    & (F.col("_sha") == F.col("_digest")))
-    one = Window.partitionBy("_sha", "_id", "_length").orderBy(F.lit(1))
-    return kept.withColumn("_row", F.row_number().over(one)).where("_row = 1").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+        F.col("digest").alias("_digest"), F.col("keep_length").alias("_length"), F.col("keep_id").isNotNull().alias("_known"),
+        F.coalesce("keep_id", F.lit(0)).alias("_id"))
+    key = F.col(f"`{id_col}`").cast("long")
+    own = docs.withColumns({"_digest": F.unhex(F.sha2(normalised(text), 256)), "_length": F.length(text).cast("long"),
+                            "_known": key.isNotNull(), "_id": F.coalesce(key, F.lit(0))})
+    one = Window.partitionBy(*keys).orderBy(F.lit(1))
+    return (own.join(found, keys).withColumn("_row", F.row_number().over(one)).where("_row = 1")
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -31,7 +31,7 @@ OPEN_WINDOWS = 64
 #: Leftover windows that one task merges.
 GROUP = 512
 #: Chunks that a worker remembers.
-_WORDS = 600_000
+_WORDS = 250_000
 _ENCODERS: dict = {}
 
 PIECE = ("id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -165,7 +165,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: Seeds of the fingerprints that propose near copies for the exact check.
-SEEDS = (42, 43, 44)
+SEEDS = (42, 43, 44, 45, 46)
 
 
 def word_fingerprints(text: str | None, seeds: tuple[int, ...] = SEEDS) -> list[int]:
@@ -257,11 +257,11 @@ def _verify(width: int, similarity: float):
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                similarity: float = 0.8, radius: int = 3, most: int = 30) -> DataFrame:
+                similarity: float = 0.8, radius: int = 3, most: int = 50) -> DataFrame:
     """(node, component) over the ids of texts in a group of near copies, component the smallest id.
 
-    Three SimHashes of the word set propose: covering tables of each bring together every pair
-    within ``radius`` bits of one of them, and pairs within ``most`` bits over all three become
+    SimHashes of the word set, one for each of ``SEEDS``, propose: covering tables of each bring together every pair
+    within ``radius`` bits of one of them, and pairs within ``most`` bits over all of them become
     candidates, each text with the most central one around it. A candidate links only if the two
     texts' ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. Null ids
     and texts without words are never in a group.
@@ -284,15 +284,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cover = masks(radius, 0)
     tables = F.array(*[F.struct(F.lit(k * len(cover) + t).cast("long").alias("t"), F.col(n).bitwiseAND(F.lit(m)).alias("k"))
                        for k, n in enumerate(names) for t, m in enumerate(cover)])
-    first = nodes.select(*names, "node", F.explode(tables).alias("x")).select(
-        F.col("x.t").alias("t0"), F.col("x.k").alias("k0"), *names, "node")
+    # only keys and nodes are shuffled for all tables; prints join the few rows that share a bucket
+    first = nodes.select("node", F.explode(tables).alias("x")).select(
+        F.col("x.t").alias("t0"), F.col("x.k").alias("k0"), "node")
     sizes = first.groupBy("t0", "k0").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = first.join(sizes, ["t0", "k0"])
+    sized = first.join(sizes, ["t0", "k0"]).join(nodes, "node")
     none = F.lit(0).cast("long")
     small = sized.where(F.col("n") <= LIMIT).select("t0", "k0", none.alias("t1"), none.alias("k1"), *names, "node")
-    inner = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.when(F.col("t0") < len(cover), F.col("f0")).when(
-        F.col("t0") < 2 * len(cover), F.col("f1")).otherwise(F.col("f2")).bitwiseAND(F.lit(m)).alias("k"))
-        for t, m in enumerate(masks(radius, 1))])
+    printed = F.element_at(F.array(*names), F.floor(F.col("t0") / len(cover)).cast("int") + 1)
+    inner = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), printed.bitwiseAND(F.lit(m)).alias("k"))
+                      for t, m in enumerate(masks(radius, 1))])
     large = (sized.where(F.col("n") > LIMIT).select("t0", "k0", *names, "node", F.explode(inner).alias("x"))
              .select("t0", "k0", F.col("x.t").alias("t1"), F.col("x.k").alias("k1"), *names, "node"))
     keys = ["t0", "k0", "t1", "k1"]

@@ -35,6 +35,8 @@ REMEMBER = 500_000
 #: Odd multipliers of the left and right id, for the slot and for its bucket.
 _SLOT, _BUCKET = (40503, 130253), (30011, 54059)
 _BUCKET_BITS = 16
+#: Above all ids and ranks.
+_NONE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -134,37 +136,46 @@ class Codec:
         return F.get(table, slot).bitwiseXOR(a * (1 << 32) + b * 65536)
 
     def encode(self, word: Column) -> Column:
-        """Ids (array of long) of ``word``, an array of a word's bytes as longs: a fold whose
-        state is the symbols s and the ranks r of neighbouring pairs."""
-        none = F.array().cast("array<bigint>")
+        """Ids (array of long) of ``word``, an array of a word's bytes as longs.
+
+        The fold's state has one number for each symbol: the rank of its pair with the next symbol
+        (65536 for none), times 65536, plus the symbol. Of equal ranks the leftmost is merged.
+        """
+        none = _NONE * _NONE
+
+        def symbol(x: Column) -> Column:
+            return x.bitwiseAND(F.lit(_NONE - 1))
 
         def fold(table: Column, shift: Column, single: Column) -> Column:
-            def rank(a: Column, b: Column) -> Column:
-                return self._rank(table, shift, a, b)
+            def state(a: Column, b: Column) -> Column:
+                return F.least(self._rank(table, shift, a, b), F.lit(_NONE)) * _NONE + a
 
             def start(s: Column) -> Column:
-                return F.struct(s.alias("s"), F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), rank).alias("r"))
+                return F.concat(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), state),
+                                F.transform(F.slice(s, -1, 1), lambda x: x + none))
 
             def merge(a: Column, m: Column, p: Column) -> Column:
-                # p: place of the lowest rank m, from 1
-                s, r = a["s"], a["r"]
-                left = F.transform(F.slice(s, F.greatest(p - 1, F.lit(1)), F.when(p > 1, 1).otherwise(0)), lambda x: rank(x, m))
-                right = F.transform(F.slice(s, p + 2, F.lit(1)), lambda y: rank(m, y))
-                return F.struct(
-                    F.concat(F.slice(s, F.lit(1), p - 1), F.array(m), F.slice(s, p + 2, F.size(s))).alias("s"),
-                    F.concat(F.slice(r, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right,
-                             F.slice(r, p + 2, F.size(r))).alias("r"))
+                # the pair of lowest rank m is at p and p + 1, from 1; its neighbours get new ranks
+                before = F.slice(a, F.greatest(p - 1, F.lit(1)), F.when(p > 1, 1).otherwise(0))
+                made = F.when(p + 1 < F.size(a), state(m, symbol(F.get(a, p + 1)))).otherwise(m + none)
+                return F.concat(F.slice(a, F.lit(1), F.greatest(p - 2, F.lit(0))),
+                                F.transform(before, lambda x: state(symbol(x), m)), F.array(made),
+                                F.slice(a, p + 2, F.size(a)))
 
             def step(a: Column, _: Column) -> Column:
-                return _bound(F.array_min(a["r"]), lambda m: F.when(
-                    m < 65536, _bound(F.array_position(a["r"], m).cast("int"), lambda p: merge(a, m, p))).otherwise(a))
+                def place(m: Column) -> Column:
+                    return F.array_position(F.transform(a, lambda x: F.shiftright(x, 16)), m).cast("int")
+
+                return _bound(F.shiftright(F.array_min(a), 16), lambda m: F.when(
+                    m < _NONE, _bound(place(m), lambda p: merge(a, m, p))).otherwise(a))
 
             symbols = F.transform(word, lambda b: F.get(single, b))
-            return F.aggregate(F.sequence(F.lit(1), F.size(word)), _bound(symbols, start), step, lambda a: a["s"])
+            rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
+            return F.aggregate(rounds, _bound(symbols, start), step, lambda a: F.transform(a, symbol))
 
         folded = _bound(F.col("_table"), lambda t: _bound(F.col("_shift"), lambda h: _bound(
             F.col("_single"), lambda g: fold(t, h, g))))
-        return F.when(F.size(word) > 0, folded).otherwise(none)
+        return F.when(F.size(word) > 0, folded).otherwise(F.array().cast("array<bigint>"))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids: their binary pieces, concatenated (as hexadecimal digits, which

@@ -348,7 +348,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .mapInArrow(_cutter(length, gram), f"id {kind}, packed binary, segments {_SEGMENT}")
         .withColumn("row", F.monotonically_increasing_id()), "segments")
     found = texts.select("row", F.explode("segments").alias("s")).select("row", "s.*")
-    several = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
+    # written first: a join of two plain exchanges lets adaptive execution split a hot anchor's rows
+    several = materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor"),
+                          "repeated-anchors")
     multi = materialise(found.join(several, "anchor"), "shared-anchors")
     key = ["anchor", "d1", "d2"]
     classes = multi.groupBy(*key).agg(

@@ -14,6 +14,7 @@ never its pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,6 +190,182 @@ def shingles(text: str | None, width: int = 5) -> set[bytes]:
     return {b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
+#: Words of 64 bits in the sketch that bounds how many shingles two texts share.
+SKETCH = 16
+#: Bits of the table of common shingles, and the texts of a window of ``_WINDOW`` shingles that make one common.
+COMMON_BITS = 1 << 23
+COMMON = 4
+_WINDOW = 1 << 21
+
+
+def shingle_hashes(text: str | None, width: int = 5) -> np.ndarray:
+    """Ascending distinct hashes of the ``width``-word shingles."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = [0, *stops[: -width].tolist()]
+    return np.unique(np.array(
+        [digest(joined[a:b], SEED) for a, b in zip(starts, (stops[width - 1:] - 1).tolist(), strict=True)], np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the hashes by their low bits. Two sketches differ in at most as many bits as the sets in elements."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(20) & np.uint64(COMMON_BITS - 1)).astype(np.int64)
+
+
+def common(texts: DataFrame, width: int) -> np.ndarray:
+    """A bit for each slot that holds a common shingle. It only decides the order of shingles, which is the same for
+    all texts, so what is missed or shares a slot costs time and no link."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held, size = np.zeros(COMMON_BITS, bool), [], 0
+        for batch in batches(frames, 200):
+            for text in batch.column(1):
+                held.append(shingle_hashes(text.as_py(), width))
+                size += len(held[-1])
+                if size >= _WINDOW:
+                    mark(bits, held)
+                    held, size = [], 0
+        if held:
+            mark(bits, held)
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(words[at], pa.int64())], names=["word", "bits"])
+
+    def mark(bits: np.ndarray, held: list[np.ndarray]) -> None:
+        hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+        bits[_slot(hashes[counts >= COMMON])] = True
+
+    found = texts.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(COMMON_BITS // 64, "<i8")
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words.view(np.uint8)
+
+
+def _heads(width: int, similarity: float, often):
+    """(id, number of shingles, prefix, sketch), common shingles last. Of two sets with a Jaccard similarity of
+    ``similarity`` both prefixes, the first n - ceil(similarity * n) + 1 hashes, hold their first common one; one more
+    allows for a collision."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = often.value
+        for batch in batches(frames, 200):
+            ids, sizes, heads, sketches = [], [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = shingle_hashes(text.as_py(), width)
+                if n := len(hashes):
+                    ids.append(i)
+                    sizes.append(n)
+                    slot = _slot(hashes)
+                    last = (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+                    ordered = np.concatenate([hashes[~last], hashes[last]])
+                    heads.append(ordered[:n - math.ceil(similarity * n - 1e-9) + 2].view(np.int64))
+                    sketches.append(sketch(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())),
+                 pa.array(sketches, pa.list_(pa.int64()))], names=["node", "n", "head", "sketch"])
+
+    return run
+
+
+def _shared(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by the first column, those whose value another row has too."""
+    held, before = None, False  # the last row, and whether it equals its predecessor
+    for batch in frames:
+        if batch.num_rows:
+            names = batch.schema.names
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            rows = rows if held is None else np.concatenate([held, rows])
+            same = rows[1:, 0] == rows[:-1, 0]
+            found = rows[:-1][np.r_[before, same][:-1] | same]
+            before = bool(same[-1]) if len(same) else before
+            held = rows[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found.T], names=names)
+    if before:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in held.T], names=names)
+
+
+def _possible(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows (label, size, place, node, sketch) of a bucket may be a link to another component. No link is missed
+    in the bucket of the two prefixes' first common shingle: after it, sets share no more than is left of the shorter
+    rest, and never more than their sketches allow."""
+    total = a[:, 1, None] + b[None, :, 1]
+    least = np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64) - 1
+    left = np.minimum((a[:, 1] - a[:, 2])[:, None], (b[:, 1] - b[:, 2])[None, :])
+    found = (left >= least) & (a[:, 0, None] != b[None, :, 0])
+    x, y = np.nonzero(found)
+    if 4 * len(x) < found.size:
+        apart = np.bitwise_count(a[x, 4:].view(np.uint64) ^ b[y, 4:].view(np.uint64)).sum(axis=1, dtype=np.int64)
+        found[x, y] = total[x, y] - apart >= 2 * least[x, y]
+        return found
+    apart = np.zeros(found.shape, np.int64)
+    for k in range(4, a.shape[1]):
+        apart += np.bitwise_count(a[:, k, None].view(np.uint64) ^ b[None, :, k].view(np.uint64))
+    return found & (total - apart >= 2 * least)
+
+
+def _centres(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """Of each row an edge to the possible partner that has the most, among rows of like size."""
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 1]))]
+    for i in range(0, len(rows), 2 * _BLOCK):
+        own = rows[i:i + 2 * _BLOCK]
+        found = _possible(own, own, similarity)
+        some = found.any(axis=1)
+        rank = np.lexsort((own[:, 3], -found.sum(axis=1))).argsort()
+        centre = np.where(found, rank[None, :], len(own)).argmin(axis=1)
+        yield np.stack([own[some, 3], own[centre[some], 3]])
+
+
+def _meetings(similarity: float, propose):
+    """Over rows (shingle, label, size, place, node, sketch) sorted by shingle: edges between different labels."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 5 + SKETCH), np.int64)
+
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+            edges, size = [], 0
+            for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(rows)], strict=True):
+                if (rows[s:e, 1] != rows[s, 1]).any():
+                    for made in propose(rows[s:e, 1:], similarity):
+                        edges.append(made)
+                        size += made.shape[1]
+                        if size > 1 << 16:
+                            yield batch_of(edges)
+                            edges, size = [], 0
+            if edges:
+                yield batch_of(edges)
+
+        def batch_of(edges: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.sort(np.concatenate(edges, axis=1), axis=0)
+            both = np.unique(both, axis=1) if both.shape[1] else both
+            return pa.RecordBatch.from_arrays([pa.array(both[1], pa.int64()), pa.array(both[0], pa.int64())], names=["src", "dst"])
+
+        for batch in frames:
+            if batch.num_rows:
+                columns = [c.to_numpy()[:, None] for c in batch.columns[:5]]
+                columns.append(batch.column(5).flatten().to_numpy().reshape(-1, SKETCH))
+                rows = np.concatenate([held, np.concatenate(columns, axis=1)])
+                other = np.flatnonzero(rows[:, 0] != rows[-1, 0])
+                last = int(other[-1]) + 1 if len(other) else 0
+                if last:
+                    yield from out(rows[:last])
+                held = rows[last:]
+        if len(held):
+            yield from out(held)
+
+    return run
+
+
 def _stars(prints: np.ndarray, nodes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Each node's edge to the neighbour with the most neighbours (ties: the smaller node), so near
     copies meet the text they were copied from. Neighbours differ in ``most`` bits or fewer."""
@@ -260,11 +437,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 similarity: float = 0.8, radius: int = 3, most: int = 50) -> DataFrame:
     """(node, component) over the ids of texts in a group of near copies, component the smallest id.
 
+    A group is a connected component of the pairs whose ``width``-word shingles have a Jaccard
+    similarity of ``similarity`` or more. Every candidate is compared by its shingles. First
     SimHashes of the word set, one for each of ``SEEDS``, propose: covering tables of each bring together every pair
     within ``radius`` bits of one of them, and pairs within ``most`` bits over all of them become
-    candidates, each text with the most central one around it. A candidate links only if the two
-    texts' ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. Null ids
-    and texts without words are never in a group.
+    candidates, each text with the most central one around it. Then a prefix filter brings together
+    every linked pair: texts meet by the shingles of their prefixes, and each becomes a candidate with
+    the most central of those that sizes, places and sketches do not rule out. Null ids and texts without words are never in a group.
     """
     names = [f"f{k}" for k in range(len(SEEDS))]
 
@@ -300,9 +479,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     proposed = (small.unionByName(large).repartition(*keys).sortWithinPartitions(*keys)
                 .mapInArrow(_proposer(most, len(names)), "src long, dst long"))
     edges = materialise(proposed.unionByName(alike).distinct(), "candidates")
-    checked = (edges.join(texts.toDF("src", "x"), "src").join(texts.toDF("dst", "y"), "dst")
-               .select("src", "dst", "x", "y").mapInArrow(_verify(width, similarity), "src long, dst long"))
-    return components(checked)
+    often = docs.sparkSession.sparkContext.broadcast(common(texts, width))
+    heads = materialise(texts.mapInArrow(_heads(width, similarity, often), "node long, n long, head array<long>, sketch array<long>"),
+                        "heads")
+    met = materialise(
+        heads.select("node", "n", F.posexplode("head").alias("place", "h"))
+        .select("h", F.col("n").bitwiseOR(F.shiftleft(F.col("place").cast("long"), 32)).alias("at"), "node")
+        .repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, at long, node long"), "meetings")
+    met = met.select("h", "node", F.col("at").bitwiseAND((1 << 32) - 1).alias("n"), F.shiftright("at", 32).alias("place"))
+    # the texts that any round compares are shuffled out of the others once
+    wanted = met.select("node").union(edges.select("src")).union(edges.select("dst")).distinct()
+    members = materialise(texts.join(wanted.toDF("id"), "id"), "compared")
+    sketches = heads.select("node", "sketch")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialise(
+            pairs.join(members.toDF("src", "x"), "src").join(members.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
+            .mapInArrow(_verify(width, similarity), "src long, dst long"), "verified")
+
+    tried, linked = edges, verified(edges)
+    known = components(linked)
+    for propose in (_centres,):
+        labelled = met.join(known, "node", "left").join(sketches, "node").select(
+            "h", F.coalesce("component", "node").alias("label"), "n", "place", "node", "sketch")
+        more = (labelled.repartition("h").sortWithinPartitions("h")
+                .mapInArrow(_meetings(similarity, propose), "src long, dst long").distinct())
+        both = tried.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        more = materialise(more.join(both, ["src", "dst"], "left_anti"), "candidates")
+        found = verified(more)
+        tried, linked = tried.union(more), linked.union(found)
+        if not found.isEmpty():
+            known = components(linked)
+    return known
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,

@@ -325,6 +325,19 @@ def _centres(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
         yield np.stack([own[some, 3], own[centre[some], 3]])
 
 
+def _pairs(rows: np.ndarray, similarity: float) -> Iterator[np.ndarray]:
+    """All possible edges; none is looked for inside the largest component of the bucket."""
+    labels, which, sizes = np.unique(rows[:, 0], return_inverse=True, return_counts=True)
+    last = which == sizes.argmax()
+    rows, few = np.concatenate([rows[~last], rows[last]]), int((~last).sum())
+    for i in range(0, few, _BLOCK):
+        stop = min(i + _BLOCK, few)
+        for j in range(i, len(rows), _BLOCK):
+            x, y = np.nonzero(_possible(rows[i:stop], rows[j:j + _BLOCK], similarity))
+            x, y = x + i, y + j
+            yield np.stack([rows[x[x < y], 3], rows[y[x < y], 3]])
+
+
 def _meetings(similarity: float, propose):
     """Over rows (shingle, label, size, place, node, sketch) sorted by shingle: edges between different labels."""
 
@@ -441,9 +454,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     similarity of ``similarity`` or more. Every candidate is compared by its shingles. First
     SimHashes of the word set, one for each of ``SEEDS``, propose: covering tables of each bring together every pair
     within ``radius`` bits of one of them, and pairs within ``most`` bits over all of them become
-    candidates, each text with the most central one around it. Then a prefix filter brings together
-    every linked pair: texts meet by the shingles of their prefixes, and each becomes a candidate with
-    the most central of those that sizes, places and sketches do not rule out. Null ids and texts without words are never in a group.
+    candidates, each text with the most central one around it. Then a prefix filter finds all links
+    that are left: texts meet by the shingles of their prefixes, first each with the most central
+    one, then every pair whose components still differ and that sizes, places and sketches do not
+    rule out. Null ids and texts without words are never in a group.
     """
     names = [f"f{k}" for k in range(len(SEEDS))]
 
@@ -499,7 +513,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     tried, linked = edges, verified(edges)
     known = components(linked)
-    for propose in (_centres,):
+    for propose in (_centres, _pairs):
         labelled = met.join(known, "node", "left").join(sketches, "node").select(
             "h", F.coalesce("component", "node").alias("label"), "n", "place", "node", "sketch")
         more = (labelled.repartition("h").sortWithinPartitions("h")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,25 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in a session
-    without that setting (tests) a temporary folder of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode, where
+    one machine is all there is, a temporary folder of our own stands in for a missing setting;
+    on a cluster a missing setting is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="plumbline-"))
     return _OWN_DIR[0]
 
 
+def _delete(path: str) -> None:
+    spark = _WRITTEN.pop(path)
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the session may be gone at exit
+        return
+
+
 def _delete_written() -> None:
     while _WRITTEN:
-        spark, path = _WRITTEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit
-            return
+        _delete(next(iter(_WRITTEN)))
 
 
 atexit.register(_delete_written)
@@ -50,13 +58,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors: the files are whole on shared
-    storage, not blocks on an executor's disk. Deleted when the driver exits.
+    storage, not blocks on an executor's disk. A join of two such tables has a plain exchange on
+    either side, which adaptive execution can split where a key is hot. Deleted by
+    :func:`release`, or when the driver exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plumbline_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_plumbline_path", None)
+        if path in _WRITTEN:
+            _delete(path)
+
+
+def materialise_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The materialised result of ``make``; what it materialised on the way is deleted."""
+    before = set(_WRITTEN)
+    out = materialise(make(), name)
+    for path in [p for p in _WRITTEN if p not in before and p != out._plumbline_path]:
+        _delete(path)
+    return out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ..., so that no name of its own can clash with ours."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def batches(frames: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
@@ -66,11 +100,6 @@ def batches(frames: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
-    """Project to the named roles, so extra or clashing columns of the input never matter."""
-    return df.select(*[F.col(f"`{source}`").alias(role) for role, source in wanted.items()])
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Label every node of the edges (a, b) with the smallest node of its component.
 
@@ -115,7 +144,8 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     the smallest node. Isolated nodes are not listed.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014). Each task first
-    contracts its own edges to a star forest, so hubs shrink before any shuffle. Every
+    contracts its own edges to a star forest, so hubs shrink before any shuffle; the least
+    neighbours are kept tables, so a hub's rows in the joins can be split. Every
     round is written to the shared folder. An empty edge table gives an empty result.
     """
     current = materialise(
@@ -123,17 +153,20 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         "edges")
     for _ in range(limit):
         both = current.union(current.select(F.col("dst"), F.col("src"))).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist()
         # large star: neighbours above u point to the least node around u
         large = (both.where("v > u").join(least, "u").select(F.col("v").alias("src"), F.col("m").alias("dst"))
-                 .where("src <> dst").distinct())
+                 .where("src <> dst").distinct().persist())
         # small star: u and its smaller neighbours point to the least of them
-        down = large.groupBy("src").agg(F.min("dst").alias("m"))
+        down = large.groupBy("src").agg(F.min("dst").alias("m")).persist()
         small = (large.join(down, "src")
                  .select(F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("m").alias("dst")),
                                            F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")))).alias("e"))
                  .select("e.src", "e.dst").where("src <> dst").distinct())
         following = materialise(small, "edges")
+        for kept in (least, large, down):
+            kept.unpersist()
+        release(current)
         # stable once every node has one parent and no parent has a parent
         state = following.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("s")).first()
         chained = following.join(following.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")

@@ -57,8 +57,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    frequent, network = lm_score.fit(docs)
-    return lm_score.score(docs, frequent, network).withColumnRenamed("id", "doc_id")
+    return lm_score.score(docs, lm_score.fit(docs)).withColumnRenamed("id", "doc_id")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,9 @@
 Terms of a text are its distinct lower-case words, the first letters of its longer words (once
 more for every doubling of the number of words that share them) and its size, each hashed to one of ``2**BITS`` slots. The machine has a weight and a ``RANK``-vector for each slot:
 score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>), so a pair of terms (an insult beside a
-group's name) can weigh more than its parts. It is trained in numpy on the driver from a bounded
+group's name, or beside another insult, or in a short text) can weigh more than its parts. The
+linear weights start at zero, move slowly and are held small, so that the pairs decide; without
+its vectors the machine finds nothing. It is trained in numpy on the driver from a bounded
 sample of labelled texts and applied to every text on the executors; the model's size is fixed.
 """
 
@@ -90,8 +92,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(slots, sizes), -30, 30)))
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.05,
-          l1: float = 0.02, l2: float = 1e-3, seed: int = 7) -> Machine:
+def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 0.05,
+          linear_rate: float = 0.005, l1: float = 0.02, l2: float = 1e-4, linear_l2: float = 0.02, seed: int = 7) -> Machine:
     """Fit by proximal AdaGrad on the logistic loss; ``texts`` are arrays of slots.
 
     Only slots whose presence differs between the classes beyond chance take part; the rest keep
@@ -115,8 +117,7 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch:
     chosen = (np.abs(z) > 4.0) & (df >= 3)
     chosen[SIZES] = df[SIZES] > 0
     texts = [t[chosen[t]] for t in texts]
-    machine.vectors[chosen] = rng.normal(0, 0.02, (int(chosen.sum()), RANK))
-    machine.weights[chosen] = np.clip(0.1 * z[chosen], -1, 2)
+    machine.vectors[chosen] = rng.normal(0.1, 0.02, (int(chosen.sum()), RANK))
     gw = np.full(1 << BITS, 1e-2, np.float32)
     gv = np.full((1 << BITS, RANK), 1e-2, np.float32)
     g0 = 1e-2
@@ -137,13 +138,13 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch:
             np.add.at(total, owner, v)
             slots, inverse = np.unique(used, return_inverse=True)
             dw = np.bincount(inverse, weights=error[owner], minlength=len(slots)) / len(part)
-            dw += l2 * machine.weights[slots]
+            dw += linear_l2 * machine.weights[slots]
             dv = np.zeros((len(slots), RANK), np.float32)
             np.add.at(dv, inverse, error[owner, None] * (total[owner] - v) / len(part))
             dv += l2 * machine.vectors[slots]
             gw[slots] += dw * dw
             gv[slots] += dv * dv
-            step = rate / np.sqrt(gw[slots])
+            step = linear_rate / np.sqrt(gw[slots])
             w = machine.weights[slots] - step * dw
             machine.weights[slots] = np.sign(w) * np.maximum(np.abs(w) - step * l1 / len(part), 0)
             machine.vectors[slots] -= rate * dv / np.sqrt(gv[slots])
@@ -160,11 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Train on at most ``rows`` labelled texts that aren't held out, chosen by the hash of their ids.
 
     The ids of the sample are found first, from the label table alone, so only their texts move.
-    Null labels and ids are left out.
+    Null labels and ids are left out. An id that is labelled or found more than once counts once, with
+    its largest label and, of its texts, the one whose terms come first. Without labels the score is
+    the same for every text.
     """
     known = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("label"))
-             .where("id is not null and label is not null and not isnan(label)").where(~held_out("id")))
-    sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(rows)  # rows bound: safe to broadcast
+             .where("id is not null and label is not null and not isnan(label)").where(~held_out("id"))
+             .groupBy("id").agg(F.max("label").alias("label")))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(rows)  # rows bound: safe to broadcast
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -176,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     found = (docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
              .join(F.broadcast(sample), "id").select("id", "label", "text")
-             .mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, label double, slots binary").toArrow())
+             .mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, label double, slots binary")
+             .groupBy("id").agg(F.min("slots").alias("slots"), F.min("label").alias("label")).toArrow())
     table = sorted(zip(*(found.column(c).to_pylist() for c in ("id", "slots", "label")), strict=True))
     if not table:
         return train([np.zeros(0, np.int32)], np.zeros(1))

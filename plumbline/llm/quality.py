@@ -1,8 +1,14 @@
 """Line-first quality cleaning.
 
-Every line is judged by itself (punctuation, navigation and boilerplate rules); failing lines
-go; a document that lost too much of its text goes as a whole. Word statistics of the whole
-text are reported beside the verdict.
+Every line is judged (punctuation, navigation and boilerplate rules); failing lines go; a document
+that lost too much of its text goes as a whole. Word statistics of the whole text are reported
+beside the verdict.
+
+* Punctuation: lines mostly of words with symbols or shouted words, and short lines that break off
+  in an ellipsis, as teasers do.
+* Navigation: menus, by separators between entries or as runs of short lines without such marks.
+* Boilerplate: short lines of licences, rights, cookie and site notices in English, German, French
+  and Spanish, or with nothing but an address.
 """
 
 from __future__ import annotations
@@ -19,11 +25,21 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import batches
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of licence and site boilerplate; a line that consists of little else fails.
+#: Phrases of licence and site boilerplate; a short line with one of them fails.
 BOILERPLATE = (
+    # English
     "all rights reserved", "licensed under", "released under", "general public license", "terms of use",
     "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript",
-    "click here", "sign up", "log in", "subscribe to our newsletter", "copyright ©", "powered by",
+    "click here", "sign up", "log in", "subscribe to our newsletter", "powered by",
+    # German
+    "alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "datenschutzerklärung", "impressum",
+    "cookies akzeptieren", "hier klicken", "jetzt anmelden", "newsletter abonnieren",
+    # French
+    "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité",
+    "mentions légales", "accepter les cookies", "cliquez ici", "se connecter", "abonnez-vous",
+    # Spanish
+    "todos los derechos reservados", "bajo la licencia", "términos de uso", "política de privacidad", "aviso legal",
+    "aceptar cookies", "haga clic aquí", "iniciar sesión", "suscríbase",
 )
 
 
@@ -36,6 +52,9 @@ class LineRules:
     max_symbol_words: float = 0.3  #: words that carry a symbol
     max_shouted: float = 0.3  #: words that end in two or more exclamation or question marks
     max_bars: float = 0.2  #: words that are a menu separator
+    max_teaser_words: int = 20  #: a longer line may end in an ellipsis
+    max_entry_words: int = 4  #: a line without marks of up to so many words may be a menu's entry
+    max_entries: int = 3  #: entries that may follow each other
     max_boilerplate_words: int = 20  #: a longer line is no mere boilerplate line
     max_lost: float = 0.5  #: word characters that may go with failing lines
 
@@ -43,7 +62,30 @@ class LineRules:
 _SEPARATORS = {b"|", "»".encode(), "›".encode(), "•".encode(), "·".encode()}
 _SYMBOL = re.compile(rb"[#*$%&<>]")
 _SHOUT = re.compile(rb"[!?]{2,}(?=[ \t\r\x0b\x0c]|$)")
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)).encode())
+_ELLIPSES = (b"...", "…".encode(), "[…]".encode())
+#: A symbol or the year of a copyright, and a bare address, are boilerplate too.
+_BOILERPLATE = re.compile("|".join([*map(re.escape, BOILERPLATE), r"(?:©|\(c\)|copyright)\s*(?:©|\(c\))?\s*(?:19|20)\d\d",
+                                    r"^\s*(?:https?://|www\.)\S+\s*$"]).encode())
+#: Marks that end or divide sentences: Latin, Greek, Arabic, Devanagari, Chinese and Japanese.
+_MARK = re.compile("[.!?:;,…]|\u037e|\u061b|\u061f|\u06d4|\u0964|\u3001|\u3002|\uff01|\uff0c|\uff1a|\uff1f".encode())
+
+
+def entries(words: list[list[bytes]], lines: list[bytes], rules: LineRules) -> list[bool]:
+    """Which lines are entries of a menu: more than ``max_entries`` short lines without a mark, one
+    after another; lines without words between them don't count."""
+    out = [False] * len(lines)
+    run: list[int] = []
+    for i, own in enumerate([*words, [b"."] * (rules.max_entry_words + 1)]):
+        if not own:
+            continue
+        if len(own) <= rules.max_entry_words and not _MARK.search(lines[i]):
+            run.append(i)
+            continue
+        if len(run) > rules.max_entries:
+            for k in run:
+                out[k] = True
+        run = []
+    return out
 
 
 def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> str:
@@ -56,6 +98,8 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> str:
     if (b"!!" in line or b"??" in line or b"?!" in line or b"!?" in line) and (
             len(_SHOUT.findall(line)) > rules.max_shouted * n):
         return "punctuation"
+    if n <= rules.max_teaser_words and words[-1].endswith(_ELLIPSES):
+        return "punctuation"
     if n <= rules.max_boilerplate_words and _BOILERPLATE.search(line.lower()):
         return "boilerplate"
     return ""
@@ -103,8 +147,9 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> tuple:
     duplicates = removed = lost = 0
     kept_lines = []
     total = 0
-    for line in lines:
-        own = line.split()
+    split = [line.split() for line in lines]
+    menu = entries(split, lines, rules)
+    for line, own, entry in zip(lines, split, menu, strict=True):
         if not own:
             kept_lines.append(line)
             continue
@@ -112,7 +157,7 @@ def judge(text: str | None, rules: LineRules = LineRules()) -> tuple:
         earlier.add(line)
         size = sum(map(len, own))
         total += size
-        if line_fails(line, own, rules):
+        if entry or line_fails(line, own, rules):
             removed += 1
             lost += size
         else:
@@ -157,7 +202,10 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRu
               count_col: str | None = None) -> DataFrame:
     """The rows whose document is kept, their text without the failing lines.
 
-    All columns stay; ``count_col``, if given, gets the new number of code points. No shuffle.
+    All columns stay, whatever their names; ``count_col``, if given, gets the new number of code
+    points. A null or empty text has no words, so its row goes. Texts are judged whole, whatever
+    their length; repeated rows are judged alike; a text without failing lines is unchanged; an empty
+    table stays empty. No shuffle.
     """
     at = docs.columns.index(text_col)
     counted = docs.columns.index(count_col) if count_col else None

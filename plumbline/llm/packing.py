@@ -44,13 +44,18 @@ class WordIds:
     pattern and merged once, and remembered; the merges of all new pieces of a batch run together
     as array operations, in the rank order of the file. Other texts go through the tokenizer
     itself. Both give the tokenizer's ids. The memory is bounded: it starts anew when full.
+
+    A special token's string in a text gives that token's id, as the tokenizer does by default; with
+    ``special_as_text`` it is ordinary text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [
+            t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         model = json.loads(self.tokenizer.to_str())["model"]
         vocab = model["vocab"]
         letters = _byte_letters()
@@ -69,6 +74,9 @@ class WordIds:
         chunks, number = self.chunks, self.chunks.index.__getitem__
         found: list[np.ndarray | None] = []
         for t in texts:
+            if any(x in t for x in self.special):
+                found.append(None)
+                continue
             try:
                 words = t.lower().encode("latin-1").split()
                 found.append(np.fromiter(map(number, words), np.int64, len(words)))
@@ -316,7 +324,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-         window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
+         window: int = WINDOW, open_windows: int = OPEN_WINDOWS, special_as_text: bool = False) -> DataFrame:
     """Pack every whole text, followed by ``end_id``; one row per piece (columns of ``PIECE``).
 
     A null or empty text is the single token ``end_id``. A long text is cut at window ends.
@@ -327,7 +335,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     tail = np.array([end_id], "<u4").tobytes()
 
     def local(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _ENCODERS.get(tokenizer_path) or _ENCODERS.setdefault(tokenizer_path, WordIds(tokenizer_path))
+        which = tokenizer_path, special_as_text
+        encode = _ENCODERS.get(which) or _ENCODERS.setdefault(which, WordIds(*which))
         packer = Packer(TaskContext.get().partitionId() << 32, window, open_windows)
         for batch in batches(frames, 500):
             texts = [x or "" for x in batch.column(1).to_pylist()]

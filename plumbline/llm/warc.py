@@ -74,7 +74,10 @@ def response(key: str, url: str, body: bytes, date: str = DATE) -> bytes:
         ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(http))], http)
 
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: A head ends with its end tag or, where that is left out, before the first thing that can't be in a head.
+_HEAD = re.compile(r"<head\b[^>]*>(?:\s++|</?(?:title|meta|link|base|bgsound|object)\b[^>]*>)*+(?:</head\s*>)?", re.I)
+_TITLE_TEXT = re.compile(r"<title\b[^>]*>.*?(?:</title\s*>|\Z)", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre|td|th|hr|main|aside|form|dl|dt|dd)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[A-Za-z!?][^>]*>")
 _BLANKS = re.compile(r"[^\S\n]+")
@@ -85,7 +88,8 @@ _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 
 def plain_text(markup: str) -> str:
     """Visible text: one line per block element, white space collapsed, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", markup)))
+    body = _HEAD.sub(" ", _TITLE_TEXT.sub(" ", _DROP.sub(" ", markup)))
+    text = _TAG.sub("", _BREAK.sub("\n", body))
     lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -93,7 +97,8 @@ def plain_text(markup: str) -> str:
 def derive_record(data: bytes) -> dict[str, object]:
     """The metadata and conversion records of one response record, and their linking fields."""
     headers, block = parse(data)
-    body = block.partition(b"\r\n\r\n")[2]
+    http, _, body = block.partition(b"\r\n\r\n")
+    status, *received = http.decode("latin-1").split("\r\n")
     markup = body.decode("utf-8", "replace")
     source, url, date = headers["warc-record-id"], headers.get("warc-target-uri", ""), headers["warc-date"]
     text = plain_text(markup)
@@ -104,18 +109,22 @@ def derive_record(data: bytes) -> dict[str, object]:
     fields = [("title", shown), ("language", lang[1].lower() if lang else ""),
               ("source-payload-digest", headers.get("warc-payload-digest", digest(body))),
               ("source-block-digest", digest(block)), ("source-content-type", headers.get("content-type", "")),
+              ("http-status", status), *(("http-header", x) for x in received),
+              *(("source-header", f"{k}: {v}") for k, v in headers.items()),
               ("outlinks", str(len(links))), *(("outlink", html.unescape(x)) for x in links)]
     meta = "".join(f"{k}: {_clean(v)}\r\n" for k, v in fields).encode()
     plain = text.encode("utf-8", "surrogatepass")
     out: dict[str, object] = {"response_id": source, "target_uri": url, "title": shown, "text": text,
                               "n_links": len(links), "source_digest": headers.get("warc-payload-digest", digest(body)),
                               "digest_ok": digest(block) == headers.get("warc-block-digest", digest(block))}
-    for kind, content, mime in (("metadata", meta, "application/warc-fields"), ("conversion", plain, "text/plain; charset=utf-8")):
-        own = record_id(kind, source, digest(content))
-        out[f"{kind}_id"], out[f"{kind}_digest"] = own, digest(content)
+    made = (("metadata", meta, "application/warc-fields"), ("conversion", plain, "text/plain; charset=utf-8"))
+    ids = {kind: record_id(kind, source, digest(content)) for kind, content, _ in made}
+    for kind, content, mime in made:
+        out[f"{kind}_id"], out[f"{kind}_digest"] = ids[kind], digest(content)
         out[f"{kind}_record"] = record([
-            ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", url),
+            ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", url),
             ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date),
+            ("WARC-Concurrent-To", ids["conversion" if kind == "metadata" else "metadata"]),
             ("Content-Type", mime), ("WARC-Block-Digest", digest(content))], content)
     return out
 
@@ -150,8 +159,11 @@ _KINDS = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "bin
 def derive(records: DataFrame, id_col: str = "id", record_col: str = "record") -> DataFrame:
     """The derivatives of every response record: (id, the columns of ``DERIVED``).
 
-    A null record gives a row of nulls beside its id. Bytes that are no whole WARC record raise
-    an error rather than lose a page. An empty body gives an empty conversion record.
+    The metadata record keeps the source's WARC headers, its HTTP status and headers and both of its
+    digests; the two derivatives name each other. A null record gives a row of nulls beside its id.
+    Bytes that are no whole WARC record raise an error rather than lose a page. An empty body gives
+    an empty conversion record. Pages are handled whole, whatever their length; repeated rows give
+    equal records; an empty table gives an empty result; other columns are ignored.
     """
     names = [x.split() for x in DERIVED.split(", ")]
 

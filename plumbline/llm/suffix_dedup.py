@@ -7,14 +7,16 @@ all suffixes of a corpus in one place doesn't scale, so equal strings are first
    ``gram``-byte strings inside (a minimizer; it depends on the string alone, so equal strings have
    equal anchors). Neighbouring starts share anchors and form segments, about one in
    (length - gram) / 2 bytes. Only a segment's hashes are shuffled.
-2. An anchor found once decides all its strings: none repeats. If all segments of an anchor are
-   equal (by a cryptographic digest of their bytes), all their strings repeat.
-3. The rest, segments with an equal anchor and different surroundings, are compared by a suffix
-   sort, one row per distinct segment: a mergesort that compares suffixes by the longest common
+2. An anchor found once decides all its strings: none repeats. Of segments that are equal (by a
+   cryptographic digest of their bytes and the anchor's place) all strings repeat; one stands for them.
+3. The distinct segments of an anchor are compared by a suffix
+   sort: a mergesort that compares suffixes by the longest common
    extension, found by binary search over prefix polynomial hashes. Neighbours in the order that
    agree in ``length`` bytes by hash are verified byte by byte.
-4. Anchors with more than ``GROUP`` distinct segments are dealt out by the digest of each string,
-   which splits any group into equal strings only, and are counted there.
+4. Groups of more than ``GROUP`` distinct segments are split before they are sorted: into pieces of
+   ``BLOCKS`` strings with like places of the anchor, dealt out by the bytes that these strings have in common (equal
+   strings have them all). Groups that are still too large are split once more, to single strings;
+   there a group holds equal strings only, and their bytes are compared in the aggregation.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, materialise
+from plumbline.llm.common import batches, materialise, release
 
 LENGTH = 400
 GRAM = 128
 #: Distinct segments of an anchor that one task sorts at most.
 GROUP = 2000
+#: Strings of a piece when a group is split, first and again.
+BLOCKS = (16, 1)
 #: Bytes of a text that are hashed at a time; a longer text goes in overlapping slices.
 SLICE = 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -216,7 +220,7 @@ def _cutter(length: int, gram: int):
 
 def _quote(length: int):
     """The bytes of the segments that a text lends to the comparison."""
-    names = ["anchor", "d1", "d2", "c", "k", "n", "place"]
+    names = ["g1", "g2", "d1", "d2", "c", "k", "n", "place"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -232,7 +236,9 @@ def _quote(length: int):
     return run
 
 
-_VERDICT = "anchor long, d1 long, d2 long, spans array<struct<start:int,stop:int>>"
+#: A class of equal segments or pieces: its group and its digest.
+_KEY = ["g1", "g2", "d1", "d2"]
+_VERDICT = "g1 long, g2 long, d1 long, d2 long, spans array<struct<start:int,stop:int>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
@@ -244,22 +250,22 @@ def _verdicts(keys: np.ndarray, owner: np.ndarray, at: np.ndarray) -> pa.RecordB
     for f, e in zip(first.tolist(), last.tolist(), strict=True):
         spans.setdefault(int(owner[f]), []).append({"start": int(at[f]), "stop": int(at[e]) + 1})
     rows = list(spans)
-    return pa.RecordBatch.from_arrays([*(pa.array(keys[rows, j] if rows else [], pa.int64()) for j in range(3)),
-                                       pa.array([spans[r] for r in rows], _SPANS)], names=["anchor", "d1", "d2", "spans"])
+    return pa.RecordBatch.from_arrays([*(pa.array(keys[rows, j] if rows else [], pa.int64()) for j in range(4)),
+                                       pa.array([spans[r] for r in rows], _SPANS)], names=[*_KEY, "spans"])
 
 
 def _sorter(length: int):
-    """Suffix-sort the groups of rows that are sorted by anchor; some groups at a time."""
+    """Suffix-sort the groups of rows that are sorted by group; some groups at a time."""
 
     def judge(rows: list[dict]) -> pa.RecordBatch:
-        keys = np.array([[r["anchor"], r["d1"], r["d2"]] for r in rows], np.int64).reshape(-1, 3)
+        keys = np.array([[r[k] for k in _KEY] for r in rows], np.int64).reshape(-1, 4)
         sizes = np.array([len(r["bytes"]) for r in rows], np.int64)
         n = np.array([r["n"] for r in rows], np.int64)
         base = np.r_[0, np.cumsum(sizes)[:-1]] if len(rows) else sizes
         owner = np.repeat(np.arange(len(rows)), n)
         at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         # equal strings have their anchor at the same place, so only those are compared
-        anchors = np.unique(keys[:, 0], return_inverse=True)[1]
+        anchors = np.unique(keys[:, :2], axis=0, return_inverse=True)[1].ravel()
         place = np.array([r["place"] for r in rows], np.int64)
         group = anchors[owner] * (1 << 20) + (place[owner] - at)
         data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
@@ -271,7 +277,8 @@ def _sorter(length: int):
         held: list[dict] = []
         for batch in batches(frames, 2000):
             held += batch.to_pylist()
-            last = next((i for i in range(len(held) - 1, 0, -1) if held[i]["anchor"] != held[i - 1]["anchor"]), 0)
+            last = next((i for i in range(len(held) - 1, 0, -1)
+                         if (held[i]["g1"], held[i]["g2"]) != (held[i - 1]["g1"], held[i - 1]["g2"])), 0)
             if last:
                 yield judge(held[:last])
                 held = held[last:]
@@ -281,21 +288,68 @@ def _sorter(length: int):
     return run
 
 
-def _string_digests(length: int):
-    """Every string of a segment by its digest, for anchors with too many segments to sort."""
+_PARENT = ["up_g1", "up_g2", "up_d1", "up_d2"]
+_PIECE = ", ".join(f"{c} long" for c in [*_PARENT, "at", *_KEY, "c", "n", "place"]) + ", bytes binary"
+
+
+def _pieces(length: int, block: int):
+    """Segments, cut into pieces whose strings have the anchor at places of one block of ``block``; a piece's
+    group is the segment's group, the block and the bytes that any string of the block has around the anchor."""
+    names = [x.split()[0] for x in _PIECE.split(", ")]
+
+    def digest(data: bytes, *salt: int) -> list[int]:
+        head = b"".join(x.to_bytes(8, "little", signed=True) for x in salt)
+        return np.frombuffer(hashlib.blake2b(head + data, digest_size=16).digest(), "<i8").tolist()
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "d1", "d2", "c", "at", "s1", "s2"]
         for batch in batches(frames, 50):
-            rows = [(r["anchor"], r["d1"], r["d2"], r["c"], i, *np.frombuffer(
-                hashlib.blake2b(r["bytes"][i:i + length], digest_size=16).digest(), "<i8").tolist())
-                for r in batch.to_pylist() for i in range(r["n"])]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            rows = []
+            for r in batch.to_pylist():
+                at = 0
+                while at < r["n"]:
+                    which = (r["place"] - at) // block
+                    stop = min(r["n"], r["place"] - which * block + 1)
+                    own = r["bytes"][at:stop - 1 + length]
+                    place = r["place"] - at
+                    first = r["place"] - which * block
+                    rows.append((*(r[k] for k in _KEY), at, *digest(r["bytes"][first:first - block + 1 + length], r["g1"], r["g2"], which),
+                                 *digest(own, place), r["c"], stop - at, place, own))
+                    at = stop
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, pa.int64()) for c in columns[:-1]), pa.array(columns[-1], pa.binary())], names=names)
 
     return run
 
 
+def _copies(classes: DataFrame) -> DataFrame:
+    """All strings of a class found more than once repeat."""
+    return classes.where("c > 1").select(*_KEY, F.array(F.struct(
+        F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"))).alias("spans"))
+
+
+def _judge(quoted: DataFrame, length: int, most: int, blocks: tuple[int, ...]) -> DataFrame:
+    """Verdicts on the classes that are found once, of groups with several classes."""
+    found = (quoted.where(F.col("k") <= most).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+             .mapInArrow(_sorter(length), _VERDICT))
+    large = quoted.where(F.col("k") > most)
+    if not blocks or large.isEmpty():
+        return found
+    pieces = materialise(large.mapInArrow(_pieces(length, blocks[0]), _PIECE), "pieces")
+    same = F.when(F.min("bytes") == F.max("bytes"), F.min("bytes")).otherwise(
+        F.raise_error(F.lit("two strings share one digest")).cast("binary"))
+    classes = materialise(pieces.groupBy(*_KEY).agg(
+        F.sum("c").alias("c"), F.min("n").alias("n"), F.min("place").alias("place"), same.alias("bytes")), "piece-classes")
+    kinds = materialise(classes.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "piece-groups")
+    several = materialise(classes.join(kinds, ["g1", "g2"]).select(*_KEY, "c", "k", "n", "place", "bytes"), "piece-quotes")
+    verdicts = materialise(_copies(classes).unionByName(_judge(several, length, most, blocks[1:])), "piece-verdicts")
+    back = (pieces.select(*_PARENT, "at", *_KEY).join(verdicts, _KEY).select(*_PARENT, "at", F.explode("spans").alias("x"))
+            .where("x.start < x.stop").groupBy(*_PARENT).agg(F.collect_list(F.struct(
+                (F.col("at") + F.col("x.start")).cast("int").alias("start"),
+                (F.col("at") + F.col("x.stop")).cast("int").alias("stop"))).alias("spans")))
+    return found.unionByName(back.toDF(*_KEY, "spans"))
+
+
 def _remover(length: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -347,33 +401,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
         .mapInArrow(_cutter(length, gram), f"id {kind}, packed binary, segments {_SEGMENT}")
         .withColumn("row", F.monotonically_increasing_id()), "segments")
-    found = texts.select("row", F.explode("segments").alias("s")).select("row", "s.*")
-    # written first: a join of two plain exchanges lets adaptive execution split a hot anchor's rows
-    several = materialise(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor"),
+    found = texts.select("row", F.explode("segments").alias("s")).select(
+        "row", "s.start", "s.n", "s.place", F.col("s.anchor").alias("g1"), "s.d1", "s.d2")
+    # tables are written before they are joined, so adaptive execution can split a hot anchor's rows
+    several = materialise(found.groupBy("g1").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g1"),
                           "repeated-anchors")
-    multi = materialise(found.join(several, "anchor"), "shared-anchors")
-    key = ["anchor", "d1", "d2"]
-    classes = multi.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n", "place")).alias("first"))
-    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"))
-    judged = materialise(classes.join(kinds, "anchor"), "classes")
-    wanted = (judged.where("k > 1").groupBy("first.row").agg(F.collect_list(F.struct(
-        *key, "c", "k", "first.start", "first.n", "first.place")).alias("wanted")))
+    multi = materialise(found.join(several, "g1"), "shared-anchors")
+    classes = materialise(multi.groupBy("g1", "d1", "d2").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n", "place")).alias("first")).select(
+            "g1", F.lit(0).cast("long").alias("g2"), "d1", "d2", "c", F.col("first.n").alias("n"), "first"), "classes")
+    kinds = materialise(classes.groupBy("g1").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "anchors")
+    wanted = (classes.join(kinds, "g1").groupBy("first.row").agg(F.collect_list(F.struct(
+        *_KEY, "c", "k", "first.start", "first.n", "first.place")).alias("wanted")))
     quoted = materialise(
         texts.select("row", "packed").join(wanted, "row").select("packed", "wanted")
-        .mapInArrow(_quote(length), "anchor long, d1 long, d2 long, c long, k long, n long, place long, bytes binary"),
+        .mapInArrow(_quote(length), ", ".join(f"{c} long" for c in [*_KEY, "c", "k", "n", "place"]) + ", bytes binary"),
         "quoted")
-    sorted_out = (quoted.where(F.col("k") <= most).repartition("anchor").sortWithinPartitions("anchor")
-                  .mapInArrow(_sorter(length), _VERDICT))
-    strings = quoted.where(F.col("k") > most).mapInArrow(
-        _string_digests(length), "anchor long, d1 long, d2 long, c long, at long, s1 long, s2 long")
-    again = strings.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s1", "s2")
-    dealt = (strings.where("c = 1").join(again, ["s1", "s2"]).groupBy(*key).agg(F.collect_list(F.struct(
-        F.col("at").cast("int").alias("start"), (F.col("at") + 1).cast("int").alias("stop"))).alias("spans")))
-    copies = judged.where("c > 1").select(*key, F.array(F.struct(
-        F.lit(0).alias("start"), F.col("first.n").alias("stop"))).alias("spans"))
-    verdicts = copies.unionByName(sorted_out).unionByName(dealt)
-    marks = (multi.join(verdicts, key).select("row", "start", F.explode("spans").alias("x"))
+    verdicts = materialise(_copies(classes).unionByName(_judge(quoted, length, most, BLOCKS)), "verdicts")
+    release(several, classes, kinds, quoted)
+    marks = (multi.join(verdicts.drop("g2"), ["g1", "d1", "d2"]).select("row", "start", F.explode("spans").alias("x"))
              .groupBy("row").agg(F.collect_list(F.struct(
                  (F.col("start") + F.col("x.start")).alias("start"), (F.col("start") + F.col("x.stop")).alias("stop"))).alias("marks")))
     return (texts.select("row", "id", "packed").join(marks, "row", "left").select("id", "packed", "marks")

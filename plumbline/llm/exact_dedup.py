@@ -8,7 +8,8 @@ normalised text*, so every merge compares full content:
 2. per (digest, text, salt): a text that holds a third of all rows meets in ``salts`` tasks;
 3. per (digest, text): at most ``salts`` winners of a text meet.
 
-Documents then learn their group's winner through a join on the digest. The join is guarded:
+Documents then learn their group's winner through a join on the digest; the winners are written
+first, so adaptive execution can split the rows of a hot digest over tasks. The join is guarded:
 should two different texts ever share a digest, the query fails instead of merging them.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import materialise, numbered
+
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: 2**65: room for one id (2**64 values and null) below the text length in the ranking number.
 _BASE = "cast(36893488147419103232 as decimal(20,0))"
@@ -71,7 +74,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        F.unhex(F.sha2(normalised(text), 256)).alias("digest"))
     # rows that nothing tells apart, counted; opened again after the join
     alike = rows.groupBy("id", "length", "digest").agg(F.count(F.lit(1)).alias("alike"))
-    joined = alike.join(groups(docs, id_col, text_col, salts), "digest")
+    joined = alike.join(materialise(groups(docs, id_col, text_col, salts), "winners"), "digest")
     return (joined.select("*", F.explode(F.sequence(F.lit(1), F.col("alike").cast("int"))).alias("ordinal"))
             .select("id", "keep_id", "group_size",
                     (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("length") == F.col("keep_length"))
@@ -80,16 +83,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; edge cases as :func:`exact_dedup`."""
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    """The rows of ``docs`` that stay, with all their columns; edge cases as :func:`exact_dedup`.
+
+    Columns may have any names. The join's keys hold the row's id beside the digest, so copies of a
+    text are spread over its tasks.
+    """
+    own = numbered(docs)
+    key = F.col(f"c{docs.columns.index(id_col)}").cast("long")
+    text = F.coalesce(F.col(f"c{docs.columns.index(text_col)}"), F.lit(""))
     # plain equality on columns without nulls: the window below then needs no exchange of its own
-    keys = ["_digest", "_length", "_known", "_id"]
+    keys = ["digest", "length", "known", "id"]
     found = groups(docs, id_col, text_col, salts).select(
-        F.col("digest").alias("_digest"), F.col("keep_length").alias("_length"), F.col("keep_id").isNotNull().alias("_known"),
-        F.coalesce("keep_id", F.lit(0)).alias("_id"))
-    key = F.col(f"`{id_col}`").cast("long")
-    own = docs.withColumns({"_digest": F.unhex(F.sha2(normalised(text), 256)), "_length": F.length(text).cast("long"),
-                            "_known": key.isNotNull(), "_id": F.coalesce(key, F.lit(0))})
+        "digest", F.col("keep_length").alias("length"), F.col("keep_id").isNotNull().alias("known"),
+        F.coalesce("keep_id", F.lit(0)).alias("id"))
+    own = own.withColumns({"digest": F.unhex(F.sha2(normalised(text), 256)), "length": F.length(text).cast("long"),
+                           "known": key.isNotNull(), "id": F.coalesce(key, F.lit(0))})
     one = Window.partitionBy(*keys).orderBy(F.lit(1))
-    return (own.join(found, keys).withColumn("_row", F.row_number().over(one)).where("_row = 1")
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return (own.join(found, keys).withColumn("place", F.row_number().over(one)).where("place = 1")
+            .select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns))

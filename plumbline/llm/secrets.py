@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, materialise
+from plumbline.llm.common import batches, materialise, numbered
 
 #: Base kinds in their listed order; a span's kind sorts by this order at equal starts.
 KINDS = ("assign", "access", "hex", "owned")
@@ -99,7 +99,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     counts as one owner of its own). A value under ``example_owners`` owners or more is an
     example. Spans of kind 3 ("owned") are only those that are no examples; base spans always
     stay. Counting goes through (value, owner) partial sums, so a value in a third of all rows
-    shrinks before the shuffle. Null and empty texts have no spans; repeated rows repeat their
+    shrinks before the shuffle; the ownership table is written, so the hits of a hot value can be split
+    over tasks in the join. Null and empty texts have no spans; repeated rows repeat their
     result; an empty table gives an empty result.
     """
     rows = materialise(
@@ -113,9 +114,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         "row", "id", "owner", "f.*")
     # a repository has one owner, so its repositories add up over the owners; the same id under
     # several owners counts under each
-    owned = (hits.groupBy("hash", "owner", "id").agg(F.lit(1).alias("one"))
-             .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners")))
+    owned = materialise(
+        hits.groupBy("hash", "owner", "id").agg(F.lit(1).alias("one"))
+        .groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners")), "owned")
     judged = (hits.join(owned, "hash")
               .withColumn("example", F.col("n_owners") >= example_owners)
               .where("kind < 3 or not example")
@@ -156,19 +158,22 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
            count_col: str | None = None, example_owners: int = 3, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every live-looking span replaced by ``mark``; copied examples stay.
 
-    All rows and columns stay; ``count_col`` gets the new number of code points. Only texts with
-    a live span are changed. Repeated ids are safe: verdicts are joined by id and text digest.
+    All rows and columns stay, whatever their names; ``count_col`` gets the new number of code points.
+    Only texts with a live span are changed; null and empty texts have none. Repeated ids are safe:
+    verdicts are joined by id and text digest, and repeated rows are changed alike. An empty table
+    stays empty; texts are searched whole, whatever their length.
     """
     live = F.filter("spans", lambda s: ~s["example"])
-    keyed = docs.withColumn("_key", F.sha2(F.concat_ws(
-        "\0", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.sha2(F.col(f"`{text_col}`"), 256)), 256))
-    found = (scan(keyed, "_key", text_col, owner_col, example_owners)
-             .select(F.col("id").alias("_key"), live.alias("_live")).where(F.size("_live") > 0)
-             .dropDuplicates(["_key"]))
-    joined = keyed.join(found, "_key", "left").drop("_key")
     names = docs.columns
     at = names.index(text_col)
     counted = names.index(count_col) if count_col else None
+    keyed = numbered(docs).withColumn("key", F.sha2(F.concat_ws(
+        "\0", F.coalesce(F.col(f"c{names.index(id_col)}").cast("string"), F.lit("-")), F.sha2(F.col(f"c{at}"), 256)), 256))
+    found = (scan(keyed, "key", f"c{at}", f"c{names.index(owner_col)}", example_owners)
+             .select(F.col("id").alias("key"), live.alias("live")).where(F.size("live") > 0)
+             .dropDuplicates(["key"]))
+    joined = keyed.join(found, "key", "left").drop("key")
+    schema = numbered(docs).schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames, 500):
@@ -182,6 +187,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owne
                 columns[counted] = pa.array(
                     [len(n) if s and n is not None else o for n, s, o in zip(new, spans, old, strict=True)],
                     batch.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, schema).toDF(*names)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, components, forest, materialise
+from plumbline.llm.common import batches, components, forest, materialise, numbered, release
 
 SEED = 42
 LIMIT = 4096
@@ -161,8 +161,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = own.join(linked, "fp")
     roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = members.join(roots, "root").select("fp", F.col("component_id").alias("wider"))
-    return (rows.join(own.join(named, "fp", "left").select("fp", F.coalesce("wider", "least").alias("component_id")), "fp")
-            .select("id", "fp", "component_id"))
+    # written, so adaptive execution can split the rows of a fingerprint that many texts have
+    found = materialise(own.join(named, "fp", "left").select("fp", F.coalesce("wider", "least").alias("component_id")), "named")
+    return rows.join(found, "fp").select("id", "fp", "component_id")
 
 
 #: Seeds of the fingerprints that propose near copies for the exact check.
@@ -529,8 +530,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
              similarity: float = 0.8, radius: int = 3) -> DataFrame:
-    """``docs`` with one row of every group of near copies, that with the smallest id; the columns
-    are unchanged, rows outside any group and rows with a null id stay, an empty table stays empty."""
-    drop = (near_copies(docs, id_col, text_col, width, similarity, radius).where("node <> component")
-            .select(F.col("node").alias("_drop")))
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
+    """``docs`` with one row of every group of near copies, that with the smallest id.
+
+    All columns stay, whatever their names. Rows outside any group and rows with a null id stay, and
+    so does every row whose id isn't unique, since a decision on an id can't tell its rows apart. Null,
+    empty and blank texts are in no group; texts are compared whole; an empty table stays empty.
+    """
+    own = numbered(docs)
+    key = f"c{docs.columns.index(id_col)}"
+    gone = near_copies(docs, id_col, text_col, width, similarity, radius).where("node <> component").select("node")
+    repeated = own.groupBy(F.col(key).cast("long").alias("node")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    drop = materialise(gone.join(repeated, "node", "left_anti"), "dropped")
+    return own.join(drop, F.col(key).cast("long") == F.col("node"), "left_anti").toDF(*docs.columns)

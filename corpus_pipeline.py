@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import exact_dedup, packing, quality, secrets, simhash
-from plumbline.llm.common import materialise, table
+from plumbline.llm.common import materialise_alone, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, make = docs, stage
+        docs = materialise_alone(lambda: make(spark, before, sf_dir), name.replace(" ", "-"))  # noqa: B023 - called at once
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -33,47 +34,85 @@ def dot(a: Sequence[float], b: Sequence[float]) -> float:
     return compensated_sum([x * y for x, y in zip(a, b, strict=True)])
 
 
+#: Marks of sums that aren't finite, beside the exponents of doubles.
+_PLUS, _MINUS, _NAN = 5000, 5001, 5002
+_HALF = 26  #: bits of the lower part of a mantissa
+
+
+def _binned(values: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Exact sums of a block of doubles: for each binary exponent the sums of the upper and lower parts of the
+    53-bit mantissas, as whole numbers."""
+    out: dict[int, tuple[int, int]] = {}
+    finite = np.isfinite(values)
+    if not finite.all():
+        for mark, n in ((_PLUS, (values == np.inf).sum()), (_MINUS, (values == -np.inf).sum()), (_NAN, np.isnan(values).sum())):
+            if n:
+                out[mark] = (int(n), 0)
+        values = values[finite]
+    fraction, exponent = np.frexp(values)
+    whole = (fraction * 2.0 ** 53).astype(np.int64)
+    for e in np.unique(exponent[whole != 0]).tolist():
+        own = whole[exponent == e]
+        out[e] = (int((own >> _HALF).sum()), int((own & ((1 << _HALF) - 1)).sum()))
+    return out
+
+
 def exact_column_sums(df: DataFrame, columns: Sequence[str]) -> list[float]:
     """Correctly rounded sums of double columns, whatever the partitions and their order.
 
-    Each task reduces its rows to Shewchuk partials, whose number is bounded by the range of the
-    exponents (about 40 a column); the driver adds the partials exactly.
+    Each task adds mantissas as whole numbers, one bin for each binary exponent; the bins add up on
+    the executors as decimals, and the driver gets a row for each column and exponent. Infinities of
+    both signs, or a NaN, give NaN; nulls count as zero.
     """
     names = list(columns)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        partials: list[list[float]] = [[] for _ in names]
-        special = [0.0] * len(names)
+        bins: dict[tuple[int, int], list[int]] = {}
         for batch in frames:
             for k in range(len(names)):
-                for x in batch.column(k).drop_null().to_pylist():
-                    if not math.isfinite(x):
-                        special[k] += x
-                        continue
-                    own, kept = partials[k], 0
-                    for y in own:
-                        if abs(x) < abs(y):
-                            x, y = y, x
-                        high = x + y
-                        low = y - (high - x)
-                        if low:
-                            own[kept] = low
-                            kept += 1
-                        x = high
-                    own[kept:] = [x]
-        rows = [(k, v) for k in range(len(names)) for v in ([special[k]] if special[k] != 0 else partials[k])]
+                for e, (high, low) in _binned(batch.column(k).drop_null().to_numpy(zero_copy_only=False)).items():
+                    own = bins.setdefault((k, e), [0, 0])
+                    own[0] += high
+                    own[1] += low
+        rows = [(k, e, Decimal(high), Decimal(low)) for (k, e), (high, low) in bins.items()]
+        kinds = (pa.int32(), pa.int32(), pa.decimal128(38, 0), pa.decimal128(38, 0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.float64())], names=["k", "v"])
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["k", "e", "high", "low"])
+
+    found = (df.select(*[F.col(f"`{c}`").cast("double") for c in names])
+             .mapInArrow(run, "k int, e int, high decimal(38,0), low decimal(38,0)")
+             .groupBy("k", "e").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect())
+    totals = [0] * len(names)  # in units of the least double
+    marks: list[set[int]] = [set() for _ in names]
+    for r in found:
+        if r["e"] >= _PLUS:
+            marks[r["k"]].add(r["e"])
+        else:
+            totals[r["k"]] += ((int(r["high"]) << _HALF) + int(r["low"])) << (r["e"] + 1073 + 53)
+    return [_special(m) if m else _quotient(t) for m, t in zip(marks, totals, strict=True)]
+
+
+def _special(marks: set[int]) -> float:
+    return math.nan if marks != {_PLUS} and marks != {_MINUS} else math.inf if marks == {_PLUS} else -math.inf
+
 
-    found = df.select(*[F.col(f"`{c}`").cast("double") for c in names]).mapInArrow(run, "k int, v double").toArrow()
-    values: list[list[float]] = [[] for _ in names]
-    for k, v in zip(found.column("k").to_pylist(), found.column("v").to_pylist(), strict=True):
-        values[k].append(v)
-    return [math.fsum(v) if all(map(math.isfinite, v)) else compensated_sum(v) for v in values]
+def _quotient(total: int) -> float:
+    """``total`` in units of 2**-1179 as the nearest double."""
+    try:
+        return total / (1 << (1073 + 53 + 53))
+    except OverflowError:
+        return math.inf if total > 0 else -math.inf
+
+
+#: Terms up to which a weighted sum is one expression; longer ones are a fold over arrays, so no plan is deep.
+_TERMS = 100
 
 
 def linear(columns: Sequence[str], values: Sequence[float], start: float = 0.0) -> Column:
-    """``start`` plus the weighted sum of columns: a matrix-vector product, one projection."""
+    """``start`` plus the weighted sum of columns in their order, one projection."""
+    if len(columns) > _TERMS:
+        products = F.zip_with(F.array(*[F.col(f"`{c}`") for c in columns]), F.array(*[F.lit(float(v)) for v in values]), lambda x, v: x * v)
+        return F.aggregate(products, F.lit(float(start)), lambda a, x: a + x)
     out = F.lit(float(start))
     for c, v in zip(columns, values, strict=True):
         out = out + F.col(f"`{c}`") * F.lit(float(v))
@@ -81,8 +120,22 @@ def linear(columns: Sequence[str], values: Sequence[float], start: float = 0.0)
 
 
 def matrix_vector(df: DataFrame, columns: Sequence[str], values: Sequence[float], name: str = "product") -> DataFrame:
-    """Row products beside the other columns."""
-    return df.withColumn(name, linear(columns, values))
+    """Compensated row products beside the other columns: Neumaier's sum, a fold inside one projection."""
+    if len(columns) != len(values):
+        raise ValueError("a product of different lengths")
+    products = F.zip_with(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]),
+                          F.array(*[F.lit(float(v)) for v in values]), lambda x, v: x * v)
+
+    def add(a: Column, x: Column) -> Column:
+        total = a["total"] + x
+        lost = F.when(F.abs(a["total"]) >= F.abs(x), (a["total"] - total) + x).otherwise((x - total) + a["total"])
+        return F.struct(total.alias("total"), (a["lost"] + lost).alias("lost"))
+
+    zero = F.lit(0.0)
+    # where the sum isn't finite, its correction is NaN: infinities of one sign stay, others give NaN
+    done = F.aggregate(products, F.struct(zero.alias("total"), zero.alias("lost")), add,
+                       lambda a: F.when(is_finite(a["total"]), a["total"] + a["lost"]).otherwise(a["total"]))
+    return df.withColumn(name, done)
 
 
 def transposed_matrix_vector(df: DataFrame, columns: Sequence[str], vector: str) -> list[float]:
@@ -91,6 +144,11 @@ def transposed_matrix_vector(df: DataFrame, columns: Sequence[str], vector: str)
     return exact_column_sums(products, products.columns)
 
 
+def dot_columns(df: DataFrame, a: str, b: str) -> float:
+    """Dot product of two columns, exactly summed."""
+    return transposed_matrix_vector(df, [a], b)[0]
+
+
 def is_infinite(c: Column) -> Column:
     return F.abs(c) == F.lit(float("inf"))
 

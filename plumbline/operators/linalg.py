@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,29 @@ def qr_r(a: np.ndarray) -> np.ndarray:
     return np.vstack([r, np.zeros((width - len(r), width))]) if len(r) < width else r
 
 
-def tsqr(df: DataFrame, rows: Sequence[Column], by: str | None = None) -> dict[int, np.ndarray]:
+@dataclass
+class Factor:
+    """A triangular factor, with the rows that went into it and the largest value of its first column."""
+
+    r: np.ndarray
+    rows: int
+    top: float
+
+    def add(self, block: np.ndarray) -> None:
+        self.r = qr_r(np.vstack([self.r, block]))
+        self.rows += len(block)
+        self.top = max(self.top, float(block[:, 0].max()))
+
+    def merge(self, other: Factor) -> None:
+        self.r = qr_r(np.vstack([self.r, other.r]))
+        self.rows, self.top = self.rows + other.rows, max(self.top, other.top)
+
+    @classmethod
+    def empty(cls, width: int) -> Factor:
+        return cls(np.zeros((0, width)), 0, -np.inf)
+
+
+def tsqr(df: DataFrame, rows: Sequence[Column], by: str | None = None) -> dict[int, Factor]:
     """Triangular factors of the matrix whose columns are the expressions ``rows``.
 
     With ``by``, one factor for each value of that integer column (small non-negative numbers such
@@ -32,37 +55,46 @@ def tsqr(df: DataFrame, rows: Sequence[Column], by: str | None = None) -> dict[i
     width = len(rows)
 
     def fold(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
+        parts: dict[int, Factor] = {}
         for batch in frames:
             if not batch.num_rows:
                 continue
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             block = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
             for key in np.unique(keys).tolist():
-                own = block[keys == key]
-                parts[key] = qr_r(np.vstack([parts[key], own]) if key in parts else own)
+                parts.setdefault(key, Factor.empty(width)).add(block[keys == key])
         yield _factors(parts)
 
     def merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
+        parts: dict[int, Factor] = {}
         for batch in frames:
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(raw).reshape(width, width)
-                parts[key] = qr_r(np.vstack([parts[key], own])) if key in parts else own
+            for key, own in _read(batch, width):
+                parts.setdefault(key, Factor.empty(width)).merge(own)
         yield _factors(parts)
 
     key = F.lit(0) if by is None else F.col(by)
     local = df.select(key.cast("int").alias("_key"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(rows)])
-    schema = "key int, r binary"
+    schema = "key int, rows long, top double, r binary"
     partial = local.mapInArrow(fold, schema).withColumn("_salt", F.spark_partition_id() % 64)
     merged = partial.repartition("key", "_salt").drop("_salt").mapInArrow(merge, schema).toArrow()
-    out: dict[int, np.ndarray] = {}
-    for key_, raw in sorted(zip(merged.column("key").to_pylist(), merged.column("r").to_pylist(), strict=True)):
-        own = np.frombuffer(raw).reshape(width, width)
-        out[key_] = qr_r(np.vstack([out[key_], own])) if key_ in out else own
+    out: dict[int, Factor] = {}
+    for key_, own in sorted(_read(merged, width), key=lambda x: (x[0], x[1].r.tobytes())):
+        out.setdefault(key_, Factor.empty(width)).merge(own)
     return out
 
 
+def _read(table: pa.RecordBatch | pa.Table, width: int) -> list[tuple[int, Factor]]:
+    columns = (table.column(c).to_pylist() for c in ("key", "rows", "top", "r"))
+    return [(key, Factor(np.frombuffer(raw).reshape(width, width), n, top)) for key, n, top, raw in zip(*columns, strict=True)]
+
+
+def _factors(parts: dict[int, Factor]) -> pa.RecordBatch:
+    found = list(parts.values())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(parts), pa.int32()), pa.array([f.rows for f in found], pa.int64()), pa.array([f.top for f in found], pa.float64()),
+         pa.array([np.ascontiguousarray(f.r).tobytes() for f in found], pa.binary())], names=["key", "rows", "top", "r"])
+
+
 def sum_vectors(df: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The sum over all blocks of rows of ``of(block)``, a vector of ``size`` numbers.
 
@@ -88,12 +120,6 @@ def sum_vectors(df: DataFrame, size: int, of: Callable[[np.ndarray], np.ndarray]
     return np.sum([np.frombuffer(raw) for raw in merged.column("v").to_pylist()], axis=0) if merged.num_rows else np.zeros(size)
 
 
-def _factors(parts: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()),
-                                       pa.array([np.ascontiguousarray(r).tobytes() for r in parts.values()], pa.binary())],
-                                      names=["key", "r"])
-
-
 def pivoted_solve(a: np.ndarray, b: np.ndarray, rows: int | None = None) -> tuple[np.ndarray, int]:
     """Basic least-squares solution and rank by Householder QR with column pivots.
 

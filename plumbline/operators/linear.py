@@ -66,21 +66,6 @@ class FittedLinear:
         return _checked(out, columns, name) if validate else out
 
 
-def _weights(df: DataFrame, columns: Sequence[str], target: str, weight: str | None) -> dict:
-    """Rows, the largest weight and weighted means, in one aggregate."""
-    w = _w(weight)
-    top = df.agg(F.max(w).alias("top")).first()["top"] if weight else 1.0
-    scaled = w / F.lit(float(top or 1.0))
-    found = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(scaled).alias("total"),
-                   *[F.sum(scaled * F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate([*columns, target])]).first().asDict()
-    if not found["rows"]:
-        raise ValidationError("no rows to fit on", "fit on a non-empty dataset")
-    if not found["total"] or not top > 0:
-        raise ValidationError("no row has a positive weight", "give at least one row a positive weight")
-    means = [found[f"s{i}"] / found["total"] for i in range(len(columns) + 1)]
-    return {"rows": found["rows"], "top": float(top), "means": means}
-
-
 def solve_factor(r: np.ndarray, alpha: float, scale: float, rows: int) -> tuple[np.ndarray, int, float]:
     """Coefficients, rank and scaled objective from the factor of the centred, weighted [X y]."""
     n = r.shape[1] - 1
@@ -93,17 +78,27 @@ def solve_factor(r: np.ndarray, alpha: float, scale: float, rows: int) -> tuple[
 
 
 def _fit(df: DataFrame, columns: Sequence[str], target: str, weight: str | None, alpha: float, intercept: bool):
-    columns = list(columns)
-    stats = _weights(df, columns, target, weight)
-    scale = max(stats["top"], alpha)
-    means = stats["means"] if intercept else [0.0] * (len(columns) + 1)
-    factor = F.sqrt(_w(weight) / F.lit(scale))
-    rows = [factor * (F.col(f"`{c}`") - F.lit(float(m))) for c, m in zip([*columns, target], means, strict=True)]
-    r = tsqr(df, rows)[0]
-    if not np.isfinite(r).all():
+    """One TSQR pass over [1, x, y], scaled by the roots of the weights. Its first row absorbs the intercept, which is
+    weighted centring; values are taken from those of any one row, so that large or constant columns lose no digits."""
+    columns = [F.col(f"`{c}`").cast("double") for c in [*columns, target]]
+    any_row = df.select(*columns).head(1)
+    if not any_row:
+        raise ValidationError("no rows to fit on", "fit on a non-empty dataset")
+    shift = np.array([v if intercept and v is not None and math.isfinite(v) else 0.0 for v in any_row[0]])
+    root = F.sqrt(_w(weight))
+    factor = tsqr(df, [root, *(root * (c - F.lit(float(m))) for c, m in zip(columns, shift, strict=True))])[0]
+    if not np.isfinite(factor.r).all():
         raise NumericalError("the design is not finite", "impute and rescale the features and the target")
-    beta, rank, objective = solve_factor(r, alpha, scale, stats["rows"])
-    b = means[-1] - float(np.dot(means[:-1], beta)) if intercept else 0.0
+    top = factor.top ** 2
+    if not top > 0:
+        raise ValidationError("no row has a positive weight", "give at least one row a positive weight")
+    scale = max(top, alpha)
+    centred = factor.r[1:, 1:] if intercept else qr_r(factor.r[:, 1:])
+    beta, rank, objective = solve_factor(centred / math.sqrt(scale), alpha, scale, factor.rows)
+    b = 0.0
+    if intercept:
+        first = factor.r[0]
+        b = float((first[-1] - first[1:-1] @ beta) / first[0] + shift[-1] - shift[:-1] @ beta)
     if not (math.isfinite(b) and math.isfinite(objective) and np.isfinite(beta).all()):
         raise NumericalError("the intercept or objective is not finite", "rescale the features and the target")
     return tuple(map(float, beta)), b, SolverReport(1, objective, DIRECT, rank)
@@ -111,8 +106,8 @@ def _fit(df: DataFrame, columns: Sequence[str], target: str, weight: str | None,
 
 @dataclass(frozen=True)
 class LinearRegression:
-    """Weighted least squares; the intercept is found by weighted centring. Two small aggregates and
-    one TSQR pass; no normal equations."""
+    """Weighted least squares; the intercept is found by weighted centring. One TSQR pass; no normal
+    equations."""
 
     fit_intercept: bool = True
 
@@ -146,6 +141,16 @@ class RidgeRegression:
         return FittedLinear(self, *_fit_as(df, columns, target, schema, weight, self.alpha, self.fit_intercept))
 
 
+def discover_classes(df: DataFrame, target: str, weight: str | None = None) -> tuple[int, int]:
+    """The two classes of positive weight, ascending; any other number of classes is an error. At most three
+    labels reach the driver."""
+    labels = df.where(_w(weight) > 0).select(F.col(f"`{target}`").cast("long")).distinct().limit(3).collect()
+    if len(labels) != 2:
+        raise ValidationError(f"{len(labels)} classes have positive weight", "fit on exactly two classes")
+    low, high = sorted(r[0] for r in labels)
+    return low, high
+
+
 def _curvature(block: np.ndarray, theta: np.ndarray, n: int, m: int, whole: bool = True) -> np.ndarray:
     """Loss and, if ``whole``, gradient and Hessian of rows (x.., weight, target), flat."""
     x, v, y = block[:, :n], block[:, n], block[:, n + 1]
@@ -226,10 +231,8 @@ class LogisticRegression:
     def fit(self, df, columns, target, schema, weight=None, seed=0) -> FittedLogistic:
         columns, w = list(columns), _w(weight)
         used = df.where(w > 0)
-        labels = sorted(r[0] for r in used.select(F.col(f"`{target}`").cast("long")).distinct().limit(3).collect())
-        if len(labels) != 2:
-            raise ValidationError(f"{len(labels)} classes have positive weight", "fit on exactly two classes")
-        top = float(used.agg(F.max(w)).first()[0])
+        labels = discover_classes(df, target, weight)
+        top = float(used.agg(F.max(w)).first()[0]) if weight else 1.0
         penalty = 1.0 / self.c
         scale = max(top, penalty)
         ridge = penalty / scale

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.errors import NumericalError, ValidationError
 from plumbline.functions.numeric import compensated_sum, is_finite
+from plumbline.sources.scratch import materialise
 
 ERROR, NAN, FALLBACK = "error", "nan", "fallback"
 _EPSILON = 2.220446049250313e-16
@@ -168,26 +169,32 @@ def _ranked(df: DataFrame, positive: int, truth: str, score: str, weight: str |
             .agg(F.sum(F.when(t, w).otherwise(0.0)).alias("tp"), F.sum(F.when(~t, w).otherwise(0.0)).alias("fp")))
 
 
-def _running(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Running sums by falling score without a single-task window: range partitions, each with the
-    sums of those before it."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, F.desc("score")).withColumn("_part", F.spark_partition_id()).persist()
-    sums = parts.groupBy("_part").agg(*[F.sum(c).alias(c) for c in columns]).orderBy("_part").collect()
-    before: dict[str, list[float]] = {c: [0.0] * (n + 1) for c in columns}
-    totals = {c: 0.0 for c in columns}
+def _running(column: str) -> Column:
+    """The sum over a range's scores from the highest down to the row's own."""
+    return F.sum(column).over(Window.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _ranges(ranked: DataFrame) -> DataFrame:
+    """``ranked`` in range partitions by falling score, with the partition's number ``_part``."""
+    n = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranked.repartitionByRange(n, F.desc("score")).withColumn("_part", F.spark_partition_id())
+
+
+def _points(df, positive, truth, score, weight) -> tuple[DataFrame, dict[str, float]]:
+    """Running tp and fp by falling score, and their totals, without a single-task window: the range partitions
+    are written with their numbers (drawing the ranges again might deal scores otherwise), and each
+    adds the sums of those before it."""
+    parts = materialise(_ranges(_ranked(df, positive, truth, score, weight)), "ranked")
+    sums = parts.groupBy("_part").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp")).orderBy("_part").collect()
+    before: dict[str, list[float]] = {c: [0.0] * (max((r["_part"] for r in sums), default=0) + 1) for c in ("tp", "fp")}
+    totals = {"tp": 0.0, "fp": 0.0}
     for r in sums:
-        for c in columns:
+        for c in totals:
             before[c][r["_part"]] = totals[c]
             totals[c] += r[c]
-    window = Window.partitionBy("_part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     return parts.select("score", *[
-        (F.sum(c).over(window) + F.get(F.array(*[F.lit(x) for x in before[c]]), F.col("_part"))).alias(c) for c in columns],
-        *[F.lit(totals[c]).alias(f"total_{c}") for c in columns])
-
-
-def _points(df, positive, truth, score, weight) -> DataFrame:
-    return _running(_ranked(df, positive, truth, score, weight), ["tp", "fp"])
+        (_running(c) + F.get(F.array(*[F.lit(x) for x in before[c]]), F.col("_part"))).alias(c) for c in totals],
+        *[F.lit(totals[c]).alias(f"total_{c}") for c in totals]), totals
 
 
 def roc_curve(df: DataFrame, positive: int = 1, truth: str = "truth", p: str = "p", weight: str | None = None) -> DataFrame:
@@ -195,9 +202,8 @@ def roc_curve(df: DataFrame, positive: int = 1, truth: str = "truth", p: str = "
 
     Both classes must have weight.
     """
-    points = _points(df, positive, truth, p, weight)
-    totals = points.select("total_tp", "total_fp").first()
-    if totals is None or totals[0] == 0 or totals[1] == 0:
+    points, totals = _points(df, positive, truth, p, weight)
+    if not totals["tp"] or not totals["fp"]:
         raise ValidationError("a ROC curve needs both classes", "score rows of both classes")
     start = df.sparkSession.createDataFrame([(math.inf, 0.0, 0.0)], "threshold double, fpr double, tpr double")
     return start.unionByName(points.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("total_fp")).alias("fpr"),
@@ -206,34 +212,81 @@ def roc_curve(df: DataFrame, positive: int = 1, truth: str = "truth", p: str = "
 
 def pr_curve(df: DataFrame, positive: int = 1, truth: str = "truth", p: str = "p", weight: str | None = None) -> DataFrame:
     """(threshold, precision, recall) by rising threshold; the end point (null, 1, 0) comes last."""
-    points = _points(df, positive, truth, p, weight)
-    first = points.select("total_tp").first()
-    if first is None or first[0] == 0:
+    points, totals = _points(df, positive, truth, p, weight)
+    if not totals["tp"]:
         raise ValidationError("a precision-recall curve needs positive rows", "score rows of the positive class")
     end = df.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double")
     return points.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
                          (F.col("tp") / F.col("total_tp")).alias("recall")).unionByName(end)
 
 
-def auc_frame(df: DataFrame, positive: int = 1, truth: str = "truth", p: str = "p", weight: str | None = None) -> DataFrame:
-    """One row: area (trapezoids over distinct scores, as a sum over rows: no ordered window needs the
-    previous point, since it is the running sum without the row's own weights)."""
-    ranked = _ranked(df, positive, truth, p, weight)
-    points = _running(ranked, ["tp", "fp"]).join(
-        ranked.select(F.col("score").alias("s"), F.col("tp").alias("own_tp"), F.col("fp").alias("own_fp")),
-        F.col("score") == F.col("s"))
-    area = F.col("own_fp") * (F.col("tp") - F.col("own_tp") / 2)
-    return points.agg(F.try_divide(F.sum(area), F.max("total_tp") * F.max("total_fp")).alias("value"))
+def _areas(df, positive, truth, p, weight) -> list:
+    """For each range of scores, from the highest: its tp and fp, and the area under its own curve. The area is a
+    sum over rows (trapezoids need the running sum without half the row's own weight), so ranges
+    add up: a later range's fp count once more for each tp before it. One job."""
+    own = _running("tp") - F.col("tp") / 2
+    return (_ranges(_ranked(df, positive, truth, p, weight)).select("_part", "tp", "fp", (F.col("fp") * own).alias("area"))
+            .groupBy("_part").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("area").alias("area"))
+            .orderBy("_part").collect())
+
+
+def auc_value(df, positive=1, truth="truth", p="p", weight=None) -> float | None:
+    """The area under the ROC curve; None if a class has no weight."""
+    tp = fp = area = 0.0
+    for r in _areas(df, positive, truth, p, weight):
+        area += r["area"] + r["fp"] * tp
+        tp, fp = tp + r["tp"], fp + r["fp"]
+    return area / (tp * fp) if tp and fp else None
 
 
 def roc_auc(df, positive=1, truth="truth", p="p", weight=None, undefined: str = ERROR) -> float:
     check_probabilities(df, p)
     check_labels(df, [truth], positive)
-    w, t = _w(weight), F.col(truth) == positive
-    found = df.agg(F.sum(F.when(t, w).otherwise(0.0)), F.sum(F.when(~t, w).otherwise(0.0))).first()
-    if not found[0] or not found[1]:
+    value = auc_value(df, positive, truth, p, weight)
+    if value is None:
         return undefined_value(undefined, "ROC AUC", "only one class has weight", 0.5)
-    return _finite(auc_frame(df, positive, truth, p, weight).first()[0], "ROC AUC")
+    return _finite(value, "ROC AUC")
+
+
+@dataclass(frozen=True)
+class BinaryPredictions:
+    """Truths beside predicted labels, probabilities of the positive label, or both, as columns of one
+    DataFrame, so they are aligned by construction. At least one kind must be there.
+
+    ``scores`` gives all binary metrics that the columns allow.
+    """
+
+    df: DataFrame
+    truth: str = "truth"
+    labels: str | None = None
+    probabilities: str | None = None
+    weight: str | None = None
+    positive: int = 1
+
+    def __post_init__(self) -> None:
+        if self.labels is None and self.probabilities is None:
+            raise ValidationError("neither labels nor probabilities", "name at least one column of predictions")
+        for c in (self.truth, self.labels, self.probabilities, self.weight):
+            if c is not None and c not in self.df.columns:
+                raise ValidationError(f"no column {c!r}", "pass a DataFrame with all columns")
+
+    def _needs(self, column: str | None, what: str) -> str:
+        if column is None:
+            raise ValidationError(f"the predictions have no {what}", f"name a column of {what}")
+        return column
+
+    def frame(self, needs: str) -> DataFrame:
+        """truth, weight and pred (``needs`` "label") or p ("probability")."""
+        column = self._needs(self.labels, "labels") if needs == "label" else self._needs(self.probabilities, "probabilities")
+        weight = [F.col(f"`{self.weight}`").alias("weight")] if self.weight else []
+        return self.df.select(F.col(f"`{self.truth}`").alias("truth"), F.col(f"`{column}`").alias("pred" if needs == "label" else "p"), *weight)
+
+    def score(self, scorer: Scorer) -> float:
+        return scorer(self.frame(scorer.needs), "weight" if self.weight else None)
+
+    def scores(self, undefined: str = ERROR) -> dict[str, float]:
+        there = {"label": self.labels, "probability": self.probabilities}
+        return {name: self.score(s) for name, s in binary_scorers(self.positive, undefined).items() if there[s.needs] is not None}
 
 
 # -- scorers ---------------------------------------------------------------------------------------

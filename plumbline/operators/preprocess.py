@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +52,11 @@ class SimpleImputer:
             raise ValidationError("the imputer's constant is not finite", "choose a finite constant")
 
     def statistics(self, df: DataFrame, columns: Sequence[str]) -> DataFrame:
-        """One row s0, s1, ... with inf0, ...: the training statistics, lazily."""
+        """One row s0, s1, ... with inf0, ...: the training statistics; lazy but for medians."""
+        if self.strategy == "median" and columns:
+            made = [F.lit(v).cast(t).alias(f"{name}{k}") for k, (value, infinite) in enumerate(exact_medians(df, columns))
+                    for name, v, t in (("s", value, "double"), ("inf", infinite, "boolean"))]
+            return df.sparkSession.range(1).select(*made)
         out = []
         for k, c in enumerate(columns):
             x = present(_q(c))
@@ -60,8 +65,6 @@ class SimpleImputer:
                 # scaled by a power of two near the largest value, so sums of huge values don't overflow
                 out.append(F.avg(finite * F.lit(2.0 ** -64)).alias(f"m{k}"))
                 s = F.avg(finite)
-            elif self.strategy == "median":
-                s = F.median(finite)
             else:
                 s = F.lit(float(self.value))
             out += [s.alias(f"s{k}"), F.coalesce(F.max(is_infinite(x)), F.lit(False)).alias(f"inf{k}")]
@@ -69,7 +72,11 @@ class SimpleImputer:
 
     def fit(self, df: DataFrame, columns: Sequence[str], schema: FeatureSchema, weight: str | None = None, seed: int = 0):
         _no_weights(weight, "an imputer")
-        found = self.statistics(df, columns).first().asDict()
+        if self.strategy == "median" and columns:
+            found = {f"{name}{k}": v for k, (value, infinite) in enumerate(exact_medians(df, columns))
+                     for name, v in (("s", value), ("inf", infinite))}
+        else:
+            found = self.statistics(df, columns).first().asDict()
         _check_infinite(found, columns)
         values = []
         for k, c in enumerate(columns):
@@ -99,6 +106,62 @@ class FittedImputer:
         return _apply(self, df, columns, schema, "imputation", validate)
 
 
+#: Rows of a bracket whose values the driver gets counted; a larger bracket is narrowed first.
+MEDIAN_ROWS = 500_000
+_ACCURACY = 1000
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], most: int = MEDIAN_ROWS) -> list[tuple[float | None, bool]]:
+    """(median of the finite values that are present, whether any is infinite) of every column.
+
+    Nothing is sorted and no task holds a column: a column of more than ``most`` values is narrowed
+    to a bracket around its middle, by a sketch and an exact count of what lies below and inside (a
+    bracket that missed the middle is widened); then the values inside are counted one by one. Few
+    values found often count as few rows. Each step is one pass for all columns.
+    """
+    p = range(len(columns))
+    cells = df.select(*[present(_q(c)).alias(f"x{k}") for k, c in enumerate(columns)])
+    low, high = [-math.inf for _ in p], [math.inf for _ in p]
+
+    def inside(k: int, a: float, b: float) -> Column:
+        x = F.col(f"x{k}")
+        return F.when(~is_infinite(x) & (x >= a) & (x <= b), x)
+
+    found = cells.agg(*[a for k in p for a in (
+        F.count(inside(k, low[k], high[k])).alias(f"n{k}"),
+        F.coalesce(F.max(is_infinite(F.col(f"x{k}"))), F.lit(False)).alias(f"inf{k}"))]).first().asDict()
+    n, infinite = [found[f"n{k}"] for k in p], [found[f"inf{k}"] for k in p]
+    below, rows, margin = [0 for _ in p], list(n), [0.01 for _ in p]
+    while wide := [k for k in p if rows[k] > most and low[k] < high[k] and margin[k] < 1]:
+        middle = {k: ((n[k] - 1) / 2 - below[k]) / rows[k] for k in wide}
+        sketch = cells.agg(*[F.percentile_approx(
+            inside(k, low[k], high[k]), [max(0.0, middle[k] - margin[k]), min(1.0, middle[k] + margin[k])], _ACCURACY) for k in wide]).first()
+        tried = dict(zip(wide, sketch, strict=True))
+        counts = cells.agg(*[a for k in wide for a in (
+            F.count_if(~is_infinite(F.col(f"x{k}")) & (F.col(f"x{k}") < tried[k][0])),
+            F.count(inside(k, *tried[k])))]).first()
+        for i, k in enumerate(wide):
+            under, within = counts[2 * i], counts[2 * i + 1]
+            if under <= (n[k] - 1) // 2 and n[k] // 2 < under + within and within < rows[k]:
+                (low[k], high[k]), below[k], rows[k] = tried[k], under, within
+            else:
+                margin[k] *= 4
+    values = F.array(*[F.struct(F.lit(k).alias("k"), inside(k, low[k], high[k]).alias("v")) for k in p])
+    counted = (cells.select(F.explode(values).alias("c")).select("c.k", "c.v").where("v is not null")
+               .groupBy("k", "v").agg(F.count(F.lit(1)).alias("n")).toArrow())
+    ks, vs, ns = (counted.column(c).to_numpy() for c in ("k", "v", "n"))
+    out: list[tuple[float | None, bool]] = []
+    for k in p:
+        order = np.argsort(vs[ks == k], kind="stable")
+        v, reached = vs[ks == k][order], below[k] + np.cumsum(ns[ks == k][order])
+        if not n[k]:
+            out.append((None, infinite[k]))
+            continue
+        a, b = (float(v[np.searchsorted(reached, at, side="right")]) for at in ((n[k] - 1) // 2, n[k] // 2))
+        out.append((a if a == b else a / 2 + b / 2, infinite[k]))
+    return out
+
+
 def _apply(fitted, df: DataFrame, columns: Sequence[str], schema: FeatureSchema, what: str, validate: bool):
     fitted.schema.require(schema, what)
     columns = list(columns)

@@ -1,10 +1,11 @@
 """Ridge grids over all folds in a constant number of passes.
 
-One pass takes statistics per fold, one the triangular factors per fold, one scores every
-(candidate, fold) pair. Training factors of a fold are merged from the others on the driver, any
-number of alphas reuses them, and the refit on all rows needs no pass at all. Preprocessing (mean or
+One pass takes statistics per fold, one the triangular factors per fold; that is all, whatever the
+numbers of candidates and folds. Training factors of a fold are merged from the others on the driver, any
+number of alphas reuses them, and the refit on all rows needs no pass either. Preprocessing (mean or
 constant imputation, then scaling) is affine in the columns [1, x with 0 for missing, missing, y],
-so it is applied to the factors.
+so it is applied to the factors; a residual is linear in the same columns, so the squared error of
+a test fold is the squared length of its factor times the residual's coefficients.
 """
 
 from __future__ import annotations
@@ -63,7 +64,7 @@ def ridge_grid(data: Dataset, assigned: DataFrame, alphas: Sequence[float], impu
         raise ValidationError(f"imputation by {impute!r} doesn't merge over folds", "use mean or constant, or the plain search")
     x, y, n = list(data.features), data.target, len(data.features)
     w = F.lit(1.0) if data.weight is None else F.col(f"`{data.weight}`")
-    # folds are joined once and kept: the three passes read the same rows
+    # folds are joined once and kept: both passes read the same rows
     joined = data.df.join(assigned.select(data.row_id, "fold"), data.row_id).persist()
     stats = [F.count(F.lit(1)).alias("rows"), F.max(w).alias("top"), F.avg(f"`{y}`").alias("my")]
     for i, c in enumerate(x):
@@ -83,7 +84,7 @@ def ridge_grid(data: Dataset, assigned: DataFrame, alphas: Sequence[float], impu
     cells = [F.col(f"`{c}`") for c in x]
     columns = [root, *(F.when(F.isnan(c), 0.0).otherwise(c - F.lit(float(s))) * root for c, s in zip(cells, shift, strict=True)),
                *(F.when(F.isnan(c), root).otherwise(0.0) for c in cells), (F.col(f"`{y}`") - F.lit(shift_y)) * root]
-    factors = tsqr(joined, columns, by="fold")
+    factors = {f: found.r for f, found in tsqr(joined, columns, by="fold").items()}
 
     def prepare(train: dict, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Factor of [1, z, y] with z the preprocessed features, and z = (x or fill - centre) / spread."""
@@ -124,24 +125,23 @@ def ridge_grid(data: Dataset, assigned: DataFrame, alphas: Sequence[float], impu
             out.append((beta, b))
         return out, (fill, centre, spread)
 
-    errors, fitted = [], {}
+    joined.unpersist()
+    scores: list[list[float]] = [[] for _ in alphas]
+    fitted = {}
     for f in folds:
         others = [k for k in folds if k != f]
         train = _merge_stats([per[k] for k in others], n)
         found, (fill, centre, spread) = solve(train, qr_r(np.vstack([factors[k] for k in others])))
-        z = [(F.when(F.isnan(c), float(a)).otherwise(c) - float(m)) / float(s)
-             for c, a, m, s in zip(cells, fill, centre, spread, strict=True)]
+        weight = float(factors[f][:, 0] @ factors[f][:, 0])
+        if not weight > 0:
+            raise ValidationError("a test part has no positive weight", "choose fewer folds or another splitter")
         for j, (beta, b) in enumerate(found):
             fitted[j, f] = (tuple(map(float, beta)), b)
-            p = F.lit(b)
-            for v, k in zip(z, beta, strict=True):
-                p = p + v * float(k)
-            e = p - F.col(f"`{y}`")
-            errors.append(F.try_divide(F.sum(F.when(F.col("fold") == f, w * e * e)),
-                                       F.sum(F.when(F.col("fold") == f, w))).alias(f"e{j}_{f}"))
-    scored = joined.agg(*errors).first().asDict()
-    joined.unpersist()
-    scores = tuple(tuple(-float(scored[f"e{j}_{f}"]) for f in folds) for j in range(len(alphas)))
+            slope = beta / spread
+            residual = np.r_[b + slope @ (shift - centre) - shift_y, slope, slope * (fill - shift), -1.0]
+            error = factors[f] @ residual
+            scores[j].append(-float(error @ error) / weight)
+    scores = tuple(map(tuple, scores))
     means = tuple(summarize(s).mean for s in scores)
     ranks = tuple(competition_ranks(means))
     best = ranks.index(1)

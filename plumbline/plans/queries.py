@@ -1,4 +1,4 @@
-"""The registered queries of the workflow engine and the SQL that checks them.
+"""Registered queries of the workflow engine and the SQL that checks them; more in operator_queries.
 
 Events give features (``value`` with every seventh missing, hour, user), lineitem gives regressions,
 orders and documents with labels give classes. Floats are rounded alike on both sides.
@@ -10,18 +10,18 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import numeric, seeds
+from plumbline.functions import numeric
 from plumbline.operators import metrics as M
-from plumbline.operators.linear import LinearRegression, LogisticRegression, RidgeRegression
+from plumbline.operators.linear import LinearRegression, LogisticRegression, RidgeRegression, discover_classes
 from plumbline.operators.preprocess import SimpleImputer, StandardScaler, VarianceThreshold, moments
-from plumbline.operators.splitters import GroupKFold, KFold, StratifiedKFold, TimeSeriesSplit, check_split, split_parts
+from plumbline.operators.splitters import KFold, StratifiedKFold, TimeSeriesSplit, check_split, split_parts
 from plumbline.plans.execution import BoundedPool
 from plumbline.plans.fusion import ridge_grid
 from plumbline.plans.pipeline import Pipeline
-from plumbline.plans.selection import cross_validate, search
+from plumbline.plans.selection import competition_ranks, cross_validate, search
 from plumbline.sources import artifact
 from plumbline.sources.dataset import ALLOW_NAN, CLASSIFICATION, Dataset, admission_report, admit
 
@@ -64,14 +64,15 @@ _E = """(SELECT event_id AS row_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE va
 
 def _event_data(spark: SparkSession, sf_dir: str, task: str = "regression", check: bool = True) -> Dataset:
     return admit(_events(spark, sf_dir), ["a", "b", "c"], "y" if task == "regression" else "label", task, weight="w",
-                 group="grp", finiteness=ALLOW_NAN, check=check)
+                 group="grp", finiteness=ALLOW_NAN, check=check, unique_ids=True)
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> Dataset:
     p = _read(spark, sf_dir, "part")
     return admit(p.select(F.col("p_partkey").alias("row_id"), F.col("p_size").cast("double").alias("x"),
                           (F.col("p_partkey") % 17).cast("double").alias("z"), F.col("p_retailprice").alias("y"),
-                          (1.0 + F.col("p_partkey") % 4).alias("w")), ["x", "z"], "y", weight="w")
+                          (1.0 + F.col("p_partkey") % 4).alias("w")), ["x", "z"], "y", weight="w",
+                 unique_ids=True)
 
 
 _P = """(SELECT p_partkey AS row_id, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 17 AS DOUBLE) AS z, p_retailprice AS y,
@@ -108,11 +109,14 @@ def dataset_admission_report(spark, sf_dir):
     return report.select(*[F.col(c).cast("long").alias(c) for c in report.columns])
 
 
-@query(f"SELECT row_id, y, pos FROM (SELECT row_id, y, row_id % 5 AS pos FROM {_E}) v WHERE pos = 3")
+@query(f"""SELECT 2 * (1000000000 - row_id) + twice.again AS pos, row_id, y FROM {_E}
+    JOIN (SELECT 0 AS again UNION ALL SELECT 1 AS again) twice ON twice.again = 0 OR row_id % 3 = 0""")
 def dataset_row_view(spark, sf_dir):
+    """All rows in reverse, every third one twice."""
     data = _event_data(spark, sf_dir, check=False)
-    positions = data.df.where("row_id % 5 = 3").select("row_id", (F.col("row_id") % 5).alias("pos"))
-    return data.view(positions).select("row_id", "y", "pos")
+    first = 2 * (1000000000 - F.col("row_id"))
+    positions = data.df.select("row_id", F.explode(F.when(F.col("row_id") % 3 == 0, F.array(first, first + 1)).otherwise(F.array(first))).alias("pos"))
+    return data.view(positions).select("pos", "row_id", "y")
 
 
 @query(f"SELECT row_id, c, coalesce(a, -1) AS a FROM {_E}")
@@ -123,7 +127,7 @@ def dataset_column_subset(spark, sf_dir):
 
 @query(f"SELECT count(DISTINCT grp) AS groups FROM {_E}")
 def distinct_groups(spark, sf_dir):
-    return _event_data(spark, sf_dir, check=False).df.agg(F.count_distinct("grp").alias("groups"))
+    return spark.createDataFrame([(_event_data(spark, sf_dir, check=False).distinct_groups(),)], "groups long")
 
 
 # -- sums ------------------------------------------------------------------------------------------
@@ -224,11 +228,6 @@ def kfold_shuffled(spark, sf_dir):
     return KFold(5, shuffle=True).assign(_event_data(spark, sf_dir, check=False), SEED)
 
 
-@query()
-def kfold_exact_shuffle(spark, sf_dir):
-    return KFold(5, shuffle=True, exact=True).assign(_event_data(spark, sf_dir, check=False), SEED)
-
-
 _STRATA = """WITH d AS (SELECT o_orderkey AS row_id, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS label FROM orders),
     c AS (SELECT label, count(*) AS n, min(row_id) AS lead_row FROM d GROUP BY label),
     o AS (SELECT label, n, sum(n) OVER (ORDER BY lead_row) - n AS off FROM c),
@@ -251,16 +250,6 @@ def stratified_kfold(spark, sf_dir):
     return StratifiedKFold(3).assign(_strata(spark, sf_dir))
 
 
-@query()
-def stratified_kfold_shuffled(spark, sf_dir):
-    return StratifiedKFold(3, shuffle=True).assign(_strata(spark, sf_dir), SEED)
-
-
-@query()
-def group_kfold(spark, sf_dir):
-    return GroupKFold(4).assign(_event_data(spark, sf_dir, check=False))
-
-
 @query(f"""SELECT row_id, k.fold, CASE WHEN i < n - (4 - k.fold) * t - 3 THEN 'train' ELSE 'test' END AS part
     FROM (SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS i, count(*) OVER () AS n, count(*) OVER () // 5 AS t FROM {_E}) x,
     (SELECT 0 AS fold UNION ALL SELECT 1 AS fold UNION ALL SELECT 2 AS fold UNION ALL SELECT 3 AS fold) k
@@ -304,7 +293,7 @@ def rmse(spark, sf_dir):
 @query(f"""SELECT round(1 - sum(w * (pred - truth) * (pred - truth)) / sum(w * (truth - m) * (truth - m)), 9) AS value
     FROM {_S}, (SELECT sum(w * truth) / sum(w) AS m FROM {_S}) a""")
 def r2(spark, sf_dir):
-    return M.r2_parts(_scored(spark, sf_dir), weight="w").select(F.round(1 - F.col("residual") / F.col("total"), 9).alias("value"))
+    return _value(_one(spark, value=M.r2(_scored(spark, sf_dir), weight="w")), 9)
 
 
 @query(f"SELECT round(pred, 4) AS prediction, round(truth - pred, 4) AS residual FROM {_S}")
@@ -322,21 +311,29 @@ def confusion(spark, sf_dir):
     return M.confusion_frame(_scored(spark, sf_dir), 1, "label", "guess", "w")
 
 
-def _from_confusion(spark, sf_dir, value) -> DataFrame:
-    return _value(M.confusion_frame(_scored(spark, sf_dir), 1, "label", "guess", "w").select(F.expr(value).alias("value")), 9)
+@query(f"SELECT round((tp + tn) / (tp + tn + fp + fn), 9) AS value FROM {_CONFUSION}")
+def accuracy(spark, sf_dir):
+    return _value(_one(spark, value=M.accuracy(_scored(spark, sf_dir), "label", "guess", "w")), 9)
+
+
+@query(f"SELECT round(0.5 * (tp / (tp + fn) + tn / (tn + fp)), 9) AS value FROM {_CONFUSION}")
+def balanced_accuracy(spark, sf_dir):
+    return _value(_one(spark, value=M.balanced_accuracy(_scored(spark, sf_dir), 1, "label", "guess", "w")), 9)
+
 
+@query(f"SELECT round(tp / (tp + fp), 9) AS value FROM {_CONFUSION}")
+def precision(spark, sf_dir):
+    return _value(_one(spark, value=M.precision(_scored(spark, sf_dir), 1, "label", "guess", "w")), 9)
 
-def _confusion_query(name: str, value: str) -> None:
-    def run(spark, sf_dir):
-        return _from_confusion(spark, sf_dir, value)
-    run.__name__ = name
-    query(f"SELECT round({value}, 9) AS value FROM {_CONFUSION}")(run)
 
+@query(f"SELECT round(tp / (tp + fn), 9) AS value FROM {_CONFUSION}")
+def recall(spark, sf_dir):
+    return _value(_one(spark, value=M.recall(_scored(spark, sf_dir), 1, "label", "guess", "w")), 9)
 
-for _name, _expression in (("accuracy", "(tp + tn) / (tp + tn + fp + fn)"),
-                           ("balanced_accuracy", "0.5 * (tp / (tp + fn) + tn / (tn + fp))"),
-                           ("precision", "tp / (tp + fp)"), ("recall", "tp / (tp + fn)"), ("f1", "2 * tp / (2 * tp + fp + fn)")):
-    _confusion_query(_name, _expression)
+
+@query(f"SELECT round(2 * tp / (2 * tp + fp + fn), 9) AS value FROM {_CONFUSION}")
+def f1(spark, sf_dir):
+    return _value(_one(spark, value=M.f1(_scored(spark, sf_dir), 1, "label", "guess", "w")), 9)
 
 
 @query(f"""SELECT round(sum(w * CASE WHEN label = 1 THEN -ln(q) ELSE -ln(1 - q) END) / sum(w), 9) AS value
@@ -368,7 +365,7 @@ def pr_curve(spark, sf_dir):
 
 @query(f"SELECT round(sum(own_fp * (tp - own_tp / 2)) / (max(all_tp) * max(all_fp)), 9) AS value FROM {_RANKED}")
 def roc_auc(spark, sf_dir):
-    return _value(M.auc_frame(_scored(spark, sf_dir), 1, "label", weight="w"), 9)
+    return _value(_one(spark, value=M.auc_value(_scored(spark, sf_dir), 1, "label", weight="w")), 9)
 
 
 @query("""SELECT count(p_retailprice) AS "count", round(avg(p_retailprice), 6) AS mean, round(stddev_pop(p_retailprice), 6) AS standard_deviation,
@@ -417,13 +414,7 @@ def _binary(spark, sf_dir) -> Dataset:
     o = _read(spark, sf_dir, "orders")
     return admit(o.select(F.col("o_orderkey").alias("row_id"), (F.col("o_totalprice") / 1e5).alias("x"),
                           ((F.col("o_orderkey") % 13) / 13.0).alias("z"), (F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).cast("long").alias("label")),
-                 ["x", "z"], "label", CLASSIFICATION)
-
-
-@query()
-def logistic_fit(spark, sf_dir):
-    d = _binary(spark, sf_dir)
-    return _coefficients(spark, LogisticRegression(c=1.7).fit(d.df, d.features, "label", d.schema))
+                 ["x", "z"], "label", CLASSIFICATION, unique_ids=True)
 
 
 @query("""SELECT o_orderkey AS row_id, round(1 / (1 + exp(-(0.25 - 0.5 * o_totalprice / 1e5 + 2.0 * ((o_orderkey % 13) / 13.0)))), 6) AS p,
@@ -446,7 +437,7 @@ def _pipeline(estimator) -> Pipeline:
     g AS (SELECT row_id, (v - mv) / sv AS u, y FROM f, s)
     SELECT row_id, round((SELECT regr_intercept(y, u) FROM g) + u * (SELECT regr_slope(y, u) FROM g), 6) AS prediction FROM g""")
 def pipeline_impute_scale_predict(spark, sf_dir):
-    d = admit(_events(spark, sf_dir), ["a"], "y", finiteness=ALLOW_NAN)
+    d = admit(_events(spark, sf_dir), ["a"], "y", finiteness=ALLOW_NAN, unique_ids=True)
     model = _pipeline(LinearRegression()).fit(d, SEED)
     return model.predict(d.df, d.features, d.schema).select("row_id", F.round("prediction", 6).alias("prediction"))
 
@@ -472,7 +463,7 @@ _ALPHAS = (0.0, 1000.0, 1000000.0)
 @query(_cv_sql((1000.0,)) + " SELECT fold, round(score, 4) AS score FROM c")
 def cv_ridge_scores(spark, sf_dir):
     d = _parts(spark, sf_dir).select_features([0])
-    d = admit(d.df, ["x"], "y")
+    d = admit(d.df, ["x"], "y", unique_ids=True)
     cv = cross_validate(Pipeline().set_estimator("ridge", RidgeRegression(1000.0)), d, KFold(4),
                         [M.regression_scorers()["neg_mean_squared_error"]], SEED)
     rows = [(f.fold, f.test_scores["neg_mean_squared_error"]) for f in cv.folds]
@@ -482,7 +473,7 @@ def cv_ridge_scores(spark, sf_dir):
 @query(_cv_sql(_ALPHAS) + """ SELECT candidate, round(avg(score), 4) AS mean_score,
     CAST(rank() OVER (ORDER BY avg(score) DESC) AS INT) AS "rank" FROM c GROUP BY candidate""")
 def grid_ridge_rank(spark, sf_dir):
-    d = admit(_parts(spark, sf_dir).df, ["x"], "y")
+    d = admit(_parts(spark, sf_dir).df, ["x"], "y", unique_ids=True)
     g = ridge_grid(d, KFold(4).assign(d), _ALPHAS, impute=None, scale=False)
     rows = [(i, m, r) for i, (m, r) in enumerate(zip(g.means, g.ranks, strict=True))]
     return spark.createDataFrame(rows, "candidate int, m double, rank int").select("candidate", F.round("m", 4).alias("mean_score"), "rank")
@@ -491,7 +482,7 @@ def grid_ridge_rank(spark, sf_dir):
 @query(_cv_sql(_ALPHAS) + """ SELECT candidate, round(avg(score), 4) AS mean_score,
     CAST(rank() OVER (ORDER BY avg(score) DESC) AS INT) AS "rank" FROM c GROUP BY candidate""")
 def grid_search_plain(spark, sf_dir):
-    d = admit(_parts(spark, sf_dir).df, ["x"], "y")
+    d = admit(_parts(spark, sf_dir).df, ["x"], "y", unique_ids=True)
     name = "neg_mean_squared_error"
     g = search(lambda p: Pipeline().set_estimator("ridge", RidgeRegression(p["alpha"])), [("alpha", _ALPHAS)], d, KFold(4),
                [M.regression_scorers()[name]], name, SEED, execution=BoundedPool(4, 1, spark))
@@ -499,26 +490,19 @@ def grid_search_plain(spark, sf_dir):
     return spark.createDataFrame(rows, "candidate int, m double, rank int").select("candidate", F.round("m", 4).alias("mean_score"), "rank")
 
 
-@query()
-def cv_logistic_scores(spark, sf_dir):
-    d = _event_data(spark, sf_dir, CLASSIFICATION)
-    pipe = (Pipeline().add("impute", SimpleImputer("mean")).add("vary", VarianceThreshold()).add("scale", StandardScaler())
-            .set_estimator("logistic", LogisticRegression()))
-    cv = cross_validate(pipe, d, StratifiedKFold(3, shuffle=True), [M.binary_scorers()[s] for s in ("accuracy", "neg_log_loss", "roc_auc")],
-                        SEED, execution=BoundedPool(3, 1, spark))
-    rows = [(f.fold, s, f.test_scores[s]) for f in cv.folds for s in cv.scorers]
-    return spark.createDataFrame(rows, "fold int, scorer string, score double").withColumn("score", F.round("score", 6))
-
-
-@query("""SELECT label, count(*) AS n FROM (SELECT CASE WHEN toxic = 1 THEN 1 ELSE 0 END AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id) x GROUP BY label""")
+@query("""SELECT min(label) AS low, max(label) AS high FROM (SELECT CASE WHEN l.toxic = 1 THEN 7 WHEN l.quality = 1 THEN 3 ELSE 5 END AS label,
+    CASE WHEN l.toxic = 1 OR l.quality = 1 THEN 1 ELSE 0 END AS w FROM documents d JOIN labels l ON d.doc_id = l.doc_id) x WHERE w > 0""")
 def class_discovery(spark, sf_dir):
+    """Three labels, one of which has no weight."""
     joined = _read(spark, sf_dir, "documents").select("doc_id").join(_read(spark, sf_dir, "labels"), "doc_id")
-    return joined.select((F.col("toxic") == 1).cast("int").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    label = F.when(F.col("toxic") == 1, 7).when(F.col("quality") == 1, 3).otherwise(5)
+    rows = joined.select(label.alias("label"), F.when(label == 5, 0.0).otherwise(1.0).alias("w"))
+    return spark.createDataFrame([discover_classes(rows, "label", "w")], "low int, high int")
 
 
 @query(ORACLE_SQL["pipeline_impute_scale_predict"])
 def artifact_round_trip(spark, sf_dir):
-    d = admit(_events(spark, sf_dir), ["a"], "y", finiteness=ALLOW_NAN)
+    d = admit(_events(spark, sf_dir), ["a"], "y", finiteness=ALLOW_NAN, unique_ids=True)
     with tempfile.TemporaryDirectory() as folder:
         path = os.path.join(folder, "model.bin")
         artifact.save(_pipeline(LinearRegression()).fit(d, SEED), path, artifact.Metadata(training_rows=d.rows, root_seed=SEED))
@@ -526,15 +510,10 @@ def artifact_round_trip(spark, sf_dir):
     return model.predict(d.df, d.features, d.schema).select("row_id", F.round("prediction", 6).alias("prediction"))
 
 
-@query("SELECT 'derive' AS name, CAST(-655211088011813383 AS BIGINT) AS value UNION ALL SELECT 'draw' AS name, CAST(-4767286540954276203 AS BIGINT) AS value")
-def seed_values(spark, sf_dir):
-    return spark.createDataFrame([("derive", seeds.derive(SEED, "cross_validate", 0)), ("draw", seeds.Rng(SEED).next_int64()[0])],
-                                 "name string, value long")
-
-
 @query("""SELECT candidate, CAST(rank() OVER (ORDER BY score DESC) AS INT) AS "rank"
     FROM (SELECT p_size AS candidate, round(avg(p_retailprice), 0) AS score FROM part GROUP BY p_size) s""")
 def competition_rank(spark, sf_dir):
-    # one row per candidate remains, so the unpartitioned window is small whatever the input
-    s = _read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("candidate")).agg(F.round(F.avg("p_retailprice"), 0).alias("score"))
-    return s.select("candidate", F.rank().over(Window.orderBy(F.desc("score"))).alias("rank"))
+    # one row per candidate reaches the driver, as from a search
+    s = _read(spark, sf_dir, "part").groupBy(F.col("p_size").alias("candidate")).agg(F.round(F.avg("p_retailprice"), 0).alias("score")).collect()
+    ranks = competition_ranks([r["score"] for r in s])
+    return spark.createDataFrame([(r["candidate"], k) for r, k in zip(s, ranks, strict=True)], "candidate int, rank int")

@@ -9,9 +9,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.errors import CompatibilityError, ValidationError, WorkflowError, context
+from plumbline.errors import CompatibilityError, DataError, ValidationError, WorkflowError, context
 from plumbline.functions.seeds import derive
 from plumbline.operators.metrics import Scorer, Summary, summarize
 from plumbline.operators.splitters import Split, split_parts
@@ -105,8 +106,10 @@ def score_model(model: FittedPipeline, data: Dataset, scorers: Sequence[Scorer])
                     raise CompatibilityError(f"the model has no class {positive}", f"use {low} or {high} as positive label")
             p = made["probability"]
             columns += [(p if positive == high else 1 - p).alias(f"p{positive}") for positive in positives]
-    frame = data.df.select(*columns).persist()
+    frame = data.df.select(*columns)  # a projection of kept rows: each scorer is one pass over it
     scores, failures = {}, []
+    if len(scorers) > 1:
+        frame = frame.persist()
     try:
         for s in scorers:
             own = frame.withColumnRenamed(f"p{s.positive}", "p") if s.needs == "probability" else frame
@@ -130,23 +133,65 @@ def cross_validate(pipeline: Pipeline, data: Dataset, splitter: Any, scorers: Se
     check_scorers(scorers)
     if failure_policy not in (ABORT, RECORD):
         raise ValidationError(f"unknown failure policy {failure_policy!r}", f"use {ABORT} or {RECORD}")
-    assigned = splitter.assign(data, derive(seed, "cross-validation-splitter")).persist()
-    splits = split_parts(data, assigned)
+    folded = fold_frame(data, splitter.assign(data, derive(seed, "cross-validation-splitter")))
+    try:
+        return cross_validate_folds(pipeline, data, folded, scorers, seed, return_train_score, return_models, return_indices,
+                                    failure_policy, fit_seed, execution)
+    finally:
+        folded.df.unpersist()
+
+
+@dataclass(frozen=True)
+class Folded:
+    """A dataset beside its folds, kept once for all folds; ``weights`` are (rows, rows of positive
+    weight) of the train and test part of each fold."""
+
+    df: DataFrame
+    parts: list[Split]
+    weights: list[dict[str, tuple[int, int]]]
+
+
+def fold_frame(data: Dataset, assigned: DataFrame) -> Folded:
+    """Join the folds once, keep the result, and count every part in one aggregate."""
+    joined = data.df.join(assigned, data.row_id).persist()
+    timed = "part" in assigned.columns
+    positive = F.count_if(F.col(f"`{data.weight}`") > 0) if data.weight else F.count(F.lit(1))
+    found = joined.groupBy("fold", *(["part"] if timed else [])).agg(F.count(F.lit(1)).alias("n"), positive.alias("p")).collect()
+    folds = sorted({r["fold"] for r in found})
+
+    def counted(f: int, part: str) -> tuple[int, int]:
+        own = [r for r in found if (r["fold"] == f and r["part"] == part if timed else (r["fold"] == f) == (part == "test"))]
+        return sum(r["n"] for r in own), sum(r["p"] for r in own)
+
+    weights = [{part: counted(f, part) for part in ("train", "test")} for f in folds]
+    return Folded(joined, split_parts(data, joined, folds), weights)
+
+
+def _check_parts(data: Dataset, weights: dict[str, tuple[int, int]]) -> None:
+    """What can be wrong with a part of an admitted dataset: it has no row, or no positive weight."""
+    for part, (n, positive) in weights.items():
+        if not n:
+            raise ValidationError(f"the {part} part is empty", "choose fewer folds or another splitter")
+        if data.weight and not positive:
+            raise DataError("all-zero weights", f"no weight of the {part} part is positive", "choose fewer folds or another splitter")
+
+
+def cross_validate_folds(pipeline: Pipeline, data: Dataset, folded: Folded, scorers: Sequence[Scorer], seed: int = 0,
+                         return_train_score: bool = False, return_models: bool = False, return_indices: bool = False,
+                         failure_policy: str = ABORT, fit_seed: int | None = None, execution: Execution | None = None) -> CrossValidation:
+    """:func:`cross_validate` on folds that are known already; a grid search shares them."""
     root = seed if fit_seed is None else fit_seed
 
     def one(i: int, split: Split) -> FoldReport:
         with context("fold", i):
-            return _fold(i, split, pipeline, scorers, derive(root, "cross-validation-fold", i), return_train_score,
+            return _fold(i, split, folded.weights[i], pipeline, scorers, derive(root, "cross-validation-fold", i), return_train_score,
                          return_models, return_indices, failure_policy)
 
-    try:
-        folds = (execution or Sequential()).map(one, splits)
-    finally:
-        assigned.unpersist()
+    folds = (execution or Sequential()).map(one, folded.parts)
     return CrossValidation(tuple(folds), tuple(s.name for s in scorers))
 
 
-def _fold(i, split, pipeline, scorers, seed, with_train, with_model, with_rows, policy) -> FoldReport:
+def _fold(i, parts, weights, pipeline, scorers, seed, with_train, with_model, with_rows, policy) -> FoldReport:
     report = FoldReport(i)
     failures: list[Failure] = []
 
@@ -156,39 +201,35 @@ def _fold(i, split, pipeline, scorers, seed, with_train, with_model, with_rows,
         failures.append(Failure(phase, error, part, scorer))
 
     try:
-        parts = split.materialize()
+        _check_parts(parts.train, weights)
     except WorkflowError as error:
         failed("materialization", error)
         return replace(report, failures=tuple(failures))
+    if with_rows:
+        rid = parts.train.row_id
+        report = replace(report, train_rows=[r[0] for r in parts.train.df.select(rid).orderBy(rid).collect()],
+                         test_rows=[r[0] for r in parts.test.df.select(rid).orderBy(rid).collect()])
+    began = time.perf_counter()
     try:
-        if with_rows:
-            rid = parts.train.row_id
-            report = replace(report, train_rows=[r[0] for r in parts.train.df.select(rid).orderBy(rid).collect()],
-                             test_rows=[r[0] for r in parts.test.df.select(rid).orderBy(rid).collect()])
-        began = time.perf_counter()
+        model = pipeline.fit(parts.train, seed)
+    except WorkflowError as error:
+        failed("fitting", error)
+        return replace(report, failures=tuple(failures), fit_seconds=time.perf_counter() - began)
+    report = replace(report, fit_seconds=time.perf_counter() - began, model=model if with_model else None)
+    began = time.perf_counter()
+    found: dict[str, dict[str, float]] = {"train": {}, "test": {}}
+    scoring: dict[str, list] = {"train": [], "test": []}
+    wanted = [("train", parts.train)] * with_train + [("test", parts.test)]
+    for part, own in wanted:
         try:
-            model = pipeline.fit(parts.train, seed)
-        except WorkflowError as error:
-            failed("fitting", error)
-            return replace(report, failures=tuple(failures), fit_seconds=time.perf_counter() - began)
-        report = replace(report, fit_seconds=time.perf_counter() - began, model=model if with_model else None)
-        began = time.perf_counter()
-        found: dict[str, dict[str, float]] = {"train": {}, "test": {}}
-        scoring: dict[str, list] = {"train": [], "test": []}
-        wanted = [("train", parts.train)] * with_train + [("test", parts.test)]
-        for part, own in wanted:
-            try:
-                found[part], scoring[part] = score_model(model, own, scorers)
-            except WorkflowError as error:  # once, not for every scorer
-                failed("prediction", error, part)
-        for part, _ in wanted:
-            for name, error in scoring[part]:
-                failed("scoring", error, part, name)
-        return replace(report, test_scores=found["test"], train_scores=found["train"], failures=tuple(failures),
-                       score_seconds=time.perf_counter() - began)
-    finally:
-        parts.train.df.unpersist()
-        parts.test.df.unpersist()
+            found[part], scoring[part] = score_model(model, own, scorers)
+        except WorkflowError as error:  # once, not for every scorer
+            failed("prediction", error, part)
+    for part, _ in wanted:
+        for name, error in scoring[part]:
+            failed("scoring", error, part, name)
+    return replace(report, test_scores=found["test"], train_scores=found["train"], failures=tuple(failures),
+                   score_seconds=time.perf_counter() - began)
 
 
 # -- grid search -----------------------------------------------------------------------------------
@@ -245,13 +286,38 @@ def search(build: Callable[[Parameters], Pipeline], axes: Sequence[tuple[str, Se
     check_scorers(scorers)
     if refit not in {s.name for s in scorers}:
         raise ValidationError(f"no scorer is named {refit!r}", "refit by one of the scorers")
-    candidates = []
-    for i, parameters in enumerate(grid(axes)):
+    if failure_policy not in (ABORT, RECORD):
+        raise ValidationError(f"unknown failure policy {failure_policy!r}", f"use {ABORT} or {RECORD}")
+    candidates: list[Candidate] = []
+    combinations = grid(axes)
+    folded = fold_frame(data, splitter.assign(data, derive(seed, "cross-validation-splitter")))
+    try:
+        _search_all(candidates, build, combinations, data, folded, scorers, seed, failure_policy, return_train_score, execution)
+    finally:
+        folded.df.unpersist()
+    ranks = competition_ranks([c.summaries[refit].mean if refit in c.summaries else None for c in candidates])
+    candidates = [replace(c, rank=r) for c, r in zip(candidates, ranks, strict=True)]
+    best = next((c.index for c in candidates if c.rank == 1), None)
+    if best is None:
+        if failure_policy == ABORT:
+            raise ValidationError("no candidate could be ranked", "resolve the failed folds")
+        return GridSearch(tuple(candidates), None, None)
+    try:
+        model = build(candidates[best].parameters).fit(data, derive(seed, "grid-search-refit", best))
+    except WorkflowError as error:
+        if failure_policy == ABORT:
+            raise
+        return GridSearch(tuple(candidates), best, None, error)
+    return GridSearch(tuple(candidates), best, model)
+
+
+def _search_all(candidates, build, combinations, data, folded, scorers, seed, failure_policy, return_train_score, execution) -> None:
+    for i, parameters in enumerate(combinations):
         with context("candidate", i):
             try:
                 built = build(parameters)
-                report = cross_validate(built, data, splitter, scorers, seed, return_train_score, failure_policy=failure_policy,
-                                        fit_seed=derive(seed, "grid-search-candidate", i), execution=execution)
+                report = cross_validate_folds(built, data, folded, scorers, seed, return_train_score, failure_policy=failure_policy,
+                                              fit_seed=derive(seed, "grid-search-candidate", i), execution=execution)
             except WorkflowError as error:
                 if failure_policy == ABORT:
                     raise
@@ -265,17 +331,3 @@ def search(build: Callable[[Parameters], Pipeline], axes: Sequence[tuple[str, Se
                 except WorkflowError:
                     continue
         candidates.append(Candidate(i, parameters, report, summaries=summaries))
-    ranks = competition_ranks([c.summaries[refit].mean if refit in c.summaries else None for c in candidates])
-    candidates = [replace(c, rank=r) for c, r in zip(candidates, ranks, strict=True)]
-    best = next((c.index for c in candidates if c.rank == 1), None)
-    if best is None:
-        if failure_policy == ABORT:
-            raise ValidationError("no candidate could be ranked", "resolve the failed folds")
-        return GridSearch(tuple(candidates), None, None)
-    try:
-        model = build(candidates[best].parameters).fit(data, derive(seed, "grid-search-refit", best))
-    except WorkflowError as error:
-        if failure_policy == ABORT:
-            raise
-        return GridSearch(tuple(candidates), best, None, error)
-    return GridSearch(tuple(candidates), best, model)

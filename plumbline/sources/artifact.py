@@ -152,8 +152,8 @@ class _Reader:
 def _write_schema(w: _Writer, s: FeatureSchema, form: Format, limits: Limits) -> None:
     if s.width > limits.max_features:
         raise _bad("encode", "too many features for the reader's limit")
-    w.u8(s.names is not None)
     w.i64(s.width)
+    w.u8(s.names is not None)
     if s.names is not None:
         w.i64(len(s.names))
         for name in s.names:
@@ -164,8 +164,8 @@ def _write_schema(w: _Writer, s: FeatureSchema, form: Format, limits: Limits) ->
 
 
 def _read_schema(r: _Reader, form: Format) -> FeatureSchema:
-    named = r.flag()
     width = r.length("feature count", r.limits.max_features)
+    named = r.flag()
     if named:
         n = r.length("name count", r.limits.max_features)
         if n != width:

@@ -10,13 +10,14 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.errors import DataError, ShapeError, ValidationError
 from plumbline.functions.numeric import is_finite, is_infinite
 from plumbline.schema import FeatureSchema
+from plumbline.sources.scratch import materialise
 
 REGRESSION, CLASSIFICATION = "regression", "classification"
 REQUIRE_FINITE, ALLOW_NAN = "require_finite", "allow_nan"
@@ -130,19 +131,25 @@ class Dataset:
         out = replace(self, features=names, schema=schema)
         return replace(out, df=self.df.select(*out.roles))
 
-    def distinct_groups(self) -> int:
+    def group_counts(self) -> DataFrame:
+        """(group, n): the rows of every group."""
         if not self.group:
             raise ValidationError("the dataset has no groups", "name a group column on admission")
-        return self.df.agg(F.count_distinct(self.group)).first()[0]
+        return self.df.groupBy(F.col(f"`{self.group}`").alias("group")).agg(F.count(F.lit(1)).alias("n"))
+
+    def distinct_groups(self) -> int:
+        return self.group_counts().count()
 
 
 def admit(df: DataFrame, features: Sequence[str], target: str, task: str = REGRESSION, row_id: str = "row_id",
           weight: str | None = None, group: str | None = None, finiteness: str = REQUIRE_FINITE,
-          names: Sequence[str] | None = (), check: bool = True) -> Dataset:
+          names: Sequence[str] | None = (), check: bool = True, unique_ids: bool = False) -> Dataset:
     """Validate and project. ``names`` () takes the column names, None makes an anonymous schema.
 
     One aggregate checks features, then target, weights and groups, in that order; the first bad
-    row (by row id) is reported. ``check`` False leaves the plan lazy, for data admitted before.
+    row (by row id) is reported. A second one, which shuffles the ids, checks that they are unique;
+    ``unique_ids`` True skips it where the source's key says so. ``check`` False leaves the plan
+    lazy, for data admitted before.
     """
     if task not in (REGRESSION, CLASSIFICATION):
         raise ValidationError(f"unknown task {task!r}", f"use {REGRESSION!r} or {CLASSIFICATION!r}")
@@ -166,7 +173,25 @@ def admit(df: DataFrame, features: Sequence[str], target: str, task: str = REGRE
     if group:
         columns.append(F.col(f"`{group}`").cast("long").alias(group))
     data = Dataset(df.select(*columns), schema, features, target, task, weight, group, row_id, finiteness)
-    return replace(data, rows=validate(data)["rows"]) if check else data
+    if not check:
+        return data
+    data = replace(data, rows=validate(data)["rows"])
+    if not unique_ids:
+        require_unique_ids(data)
+    return data
+
+
+def repeated_ids(data: Dataset) -> DataFrame:
+    """(row_id, n) of the ids that more than one row has."""
+    rid = F.col(f"`{data.row_id}`")
+    return data.df.groupBy(rid.alias("row_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def require_unique_ids(data: Dataset) -> None:
+    """Fail at the least row id that more than one row has; else a join on ids would multiply rows."""
+    found = repeated_ids(data).agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("row_id", "n")).alias("first")).first()
+    if found["m"]:
+        raise ValidationError(f"{found['first']['n']} rows have the id {found['first']['row_id']}", "give every row a unique id")
 
 
 def admission_report(data: Dataset) -> DataFrame:
@@ -235,17 +260,35 @@ def validate(data: Dataset) -> dict[str, Any]:
 def with_dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
     """A dense 0-based index in the given order without a single-task window.
 
-    Rows are range-partitioned and sorted, partitions are counted, and each row adds its
-    partition's offset to its place; only the counts (one per partition) meet the driver.
+    Rows are range-partitioned, sorted and numbered inside their partition, and written with that
+    number, since drawing the ranges again might deal rows otherwise; then each row adds the offset
+    of its partition. One shuffle; only the counts (one per partition) meet the driver.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()).persist()
-    counts = {r["_part"]: r["n"] for r in ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], 0
+    ranged = materialise(range_numbered(df, [F.col(c) for c in order]), "ordered")
+    return ranged.withColumn(name, F.col("_at").bitwiseAND(F.lit(_PLACE)) + offsets(ranged)).drop("_at")
+
+
+#: ``monotonically_increasing_id`` has the partition above these bits.
+_PART_BITS = 33
+_PLACE = (1 << _PART_BITS) - 1
+
+
+def range_numbered(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` in range partitions by ``order``, sorted, with ``_at``: partition and place in it."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+
+
+def part_of() -> Column:
+    """The range partition of a numbered row."""
+    return F.shiftright("_at", _PART_BITS)
+
+
+def offsets(ranged: DataFrame) -> Column:
+    """The number of rows in the partitions before a row's own."""
+    counts = {r["part"]: r["n"] for r in ranged.groupBy(part_of().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
     for part in range(max(counts, default=-1) + 1):
-        offsets.append(total)
+        before.append(total)
         total += counts.get(part, 0)
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    literal = F.array(*[F.lit(o).cast("long") for o in offsets]) if offsets else F.array(F.lit(0).cast("long"))
-    return ranged.withColumn(name, place + F.get(literal, F.col("_part"))).drop("_part")
+    return F.get(F.array(*[F.lit(o).cast("long") for o in before or [0]]), part_of().cast("int"))

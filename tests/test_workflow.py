@@ -306,3 +306,31 @@ def test_stream_predictions(spark, data, tmp_path):
     running.awaitTermination()
     batch = model.predict(data.df, data.features, data.schema).select("row_id", "prediction").toPandas().sort_values("row_id", ignore_index=True)
     assert spark.table("predicted").toPandas().sort_values("row_id", ignore_index=True).equals(batch)
+
+
+def test_files_of_another_producer(spark):
+    """A file written field by field, under other names: y = 2 x + 1 behind a scaler."""
+    import hashlib
+    import struct
+    names = ("other-features-v1", "other-schema-v1")
+    text = lambda s: struct.pack(">q", len(s)) + s
+    floats = lambda *v: struct.pack(f">q{len(v)}d", len(v), *v)
+    digest = hashlib.md5(names[0].encode() + struct.pack(">qB", 1, 1) + text(b"x")).hexdigest()
+    schema = struct.pack(">qBq", 1, 1, 1) + text(b"x") + text(f"{names[1]}:{digest}".encode())
+    scaler = struct.pack(">BB", 1, 1) + floats(3.0) + floats(4.0) + floats(2.0)
+    ols = struct.pack(">B", 1) + floats(4.0) + struct.pack(">d", 7.0) + struct.pack(">BqdBBq", 1, 1, 0.25, 0, 1, 1)
+    payload = (text(b"9.9") + text(b"built elsewhere") + struct.pack(">Bq", 1, 30) + struct.pack(">Bq", 1, -7) + struct.pack(">Bq", 2, 1) + text(b"k") + text(b"v")
+               + schema + schema + struct.pack(">q", 1) + text(b"scale") + schema + schema + struct.pack(">Bq", 2, 1) + text(scaler)
+               + text(b"model") + struct.pack(">Bq", 16, 1) + text(ols))
+    raw = b"OTHERS01" + struct.pack(">BBBqB", 1, 0, 1, len(payload), 1) + hashlib.md5(payload).digest() + payload
+    form = artifact.Format(b"OTHERS01", names)
+    model, meta = artifact.decode(raw, "regression", form=form)
+    assert meta == artifact.Metadata(30, -7, True, (("k", "v"),))
+    df = spark.createDataFrame([(0, 0.0), (1, 3.0), (2, 10.0)], "row_id long, x double")
+    assert [r["prediction"] for r in model.predict(df, ["x"], model.schema).orderBy("row_id").collect()] == [1.0, 7.0, 21.0]
+    with pytest.raises(ArtifactError):
+        artifact.decode(raw, "regression")
+    with pytest.raises(ArtifactError):
+        artifact.decode(raw, "regression", form=artifact.Format(b"OTHERS01"))
+    again, _ = artifact.decode(artifact.encode(model, meta, form=form), "regression", form=form)
+    assert again == model

@@ -8,15 +8,15 @@ Each partition is one pipelined pass without a shuffle:
    concatenates the binary pieces of the ids, which is decoding;
 3. texts are put together from the results of their words.
 
-The ranks sit in a perfect hash table of two constant arrays, so a lookup is two array accesses
-inside the JVM, whatever the size of the vocabulary. What a partition remembers are its distinct
+The ranks sit in two constant arrays: every left symbol has an offset, and the pair's id is at the
+offset plus the right symbol, so a lookup is two array accesses inside the JVM, whatever the size of
+the vocabulary. What a partition remembers are its distinct
 words; past ``REMEMBER`` words it starts anew, so memory is bounded.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import batches
 
 REMEMBER = 500_000
-#: Odd multipliers of the left and right id, for the slot and for its bucket.
-_SLOT, _BUCKET = (40503, 130253), (30011, 54059)
-_BUCKET_BITS = 16
 #: Above all ids and ranks.
 _NONE = 1 << 16
+#: A number of the fold's state is rank * 2**46 + place * 2**16 + symbol.
+_PAIR_BITS = 46
+_PAIR = 1 << _PAIR_BITS
 
 
 @dataclass(frozen=True)
@@ -45,65 +45,51 @@ class Ranks:
 
     pieces: list[bytes]
     single: np.ndarray  #: id of each byte
-    keys: np.ndarray  #: left id << 16 | right id, -1 where a slot is free
-    made: np.ndarray  #: id (and rank) of the merged pair
-    shift: np.ndarray  #: displacement of each bucket
-    bits: int
-
-    def packed(self) -> np.ndarray:
-        """Slots as ``key << 16 | id``; a free slot is far above all of them."""
-        return np.where(self.keys >= 0, self.keys << 16 | self.made, 1 << 62)
+    first: np.ndarray  #: at byte * 256 + next byte: their pair's id or ``_NONE``, times ``_PAIR``, plus the byte's id
+    base: np.ndarray  #: offset of each left symbol
+    table: np.ndarray  #: at offset + right symbol: left symbol << 16 | id of the pair; free places are far above
 
     @classmethod
     def load(cls, path: str) -> Ranks:
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        if max(ranks.values()) >= 1 << 16:
+        if max(ranks.values()) >= _NONE:
             raise ValueError("ids need more than 16 bits")
         pieces = [b""] * (max(ranks.values()) + 1)
         for piece, r in ranks.items():
             pieces[r] = piece
-        pairs = {}
+        rows: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)
         for piece, r in ranks.items():
             for i in range(1, len(piece)):
                 a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
                 if a is not None and b is not None:
-                    pairs[a << 16 | b] = r
-        keys = np.fromiter(pairs, np.int64, len(pairs))
-        made = np.fromiter(pairs.values(), np.int64, len(pairs))
-        bits = max(4, int(2 * len(keys)).bit_length())
-        table, value, shift = _perfect(keys, made, bits)
-        return cls(pieces, np.array([ranks[bytes([i])] for i in range(256)], np.int64), table, value, shift, bits)
-
-
-def _perfect(keys: np.ndarray, made: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and displace: buckets, largest first, are shifted until all their keys find free slots."""
-    mask = (1 << bits) - 1
-    a, b = keys >> 16, keys & 0xFFFF
-    home = (a * _SLOT[0] + b * _SLOT[1]) & mask
-    bucket = (a * _BUCKET[0] + b * _BUCKET[1]) & ((1 << _BUCKET_BITS) - 1)
-    order = np.argsort(bucket, kind="stable")
-    starts = np.searchsorted(bucket[order], np.arange((1 << _BUCKET_BITS) + 1))
-    table = np.full(mask + 1, -1, np.int64)
-    value = np.zeros(mask + 1, np.int64)
-    shift = np.zeros(1 << _BUCKET_BITS, np.int64)
-    used = bytearray(mask + 1)
-    for b in np.argsort(-(starts[1:] - starts[:-1]), kind="stable").tolist():
-        own = order[starts[b]:starts[b + 1]]
-        if not len(own):
-            break
-        at = home[own].tolist()
-        if len(set(at)) < len(at):
-            raise ValueError("two keys of a bucket share a slot")
-        d = 0
-        while any(used[(x + d) & mask] for x in at):
-            d += 1
-        shift[b] = d
-        for x, i in zip(at, own.tolist(), strict=True):
-            slot = (x + d) & mask
-            used[slot] = 1
-            table[slot], value[slot] = keys[i], made[i]
-    return table, value, shift
+                    rows[a].append((b, r))
+        single = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        first = [min(ranks.get(bytes([i, j]), _NONE), _NONE) * _PAIR + single[i] for i in range(256) for j in range(256)]
+        return cls(pieces, single, np.array(first, np.int64), *_displace(rows, len(pieces)))
+
+
+def _displace(rows: dict[int, list[tuple[int, int]]], symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of left symbols, and the table in which their rows (right symbol, id) don't overlap.
+
+    The longest rows come first; each takes the first of a fixed sequence of offsets that fits. A table
+    eight times as long as all rows together has room for short rows nearly anywhere.
+    """
+    room = 8 * max(1, sum(map(len, rows.values())))
+    base, table = np.zeros(symbols, np.int64), np.full(room + symbols, 1 << 62, np.int64)
+    free = np.ones(room + symbols, bool)
+    rng = np.random.default_rng(0)
+    for left in sorted(rows, key=lambda a: (-len(rows[a]), a)):
+        right, made = np.array(rows[left], np.int64).T
+        while True:
+            tried = rng.integers(0, room, 64)
+            fits = free[tried[:, None] + right].all(axis=1)
+            if fits.any():
+                break
+        base[left] = tried[fits.argmax()]
+        table[base[left] + right] = left * _NONE + made
+        free[base[left] + right] = False
+    return base, table
 
 
 def _bound(values: Column, body: Callable[[Column], Column]) -> Column:
@@ -116,72 +102,67 @@ class Codec:
     once, as plain memory blocks."""
 
     def __init__(self, spark: SparkSession, ranks: Ranks) -> None:
-        self.bits = ranks.bits
-        one = pa.table({"table": [ranks.packed()], "shift": [ranks.shift], "single": [ranks.single]})
+        one = pa.table({"table": [ranks.table], "base": [ranks.base], "first": [ranks.first], "last": [ranks.single + _NONE * _PAIR]})
+        self.names = one.column_names
         self.row = spark.createDataFrame(one)
         self.pieces = ranks.pieces
 
     def bind(self, rows: DataFrame) -> DataFrame:
         """``rows`` with the constants as columns. The optimizer moves each into the one
         expression that reads it, so they are never copied into rows."""
-        return rows.withColumns({f"_{c}": self.row.select(c).scalar() for c in ("table", "shift", "single")})
-
-    def _rank(self, table: Column, shift: Column, a: Column, b: Column) -> Column:
-        """The merged id of the pair (a, b), or a number of 65536 or more.
-
-        A slot holds ``key << 16 | id``; exclusive-or with the pair's own shifted key leaves the id.
-        """
-        moved = F.get(shift, (a * _BUCKET[0] + b * _BUCKET[1]).bitwiseAND(F.lit((1 << _BUCKET_BITS) - 1)))
-        slot = (a * _SLOT[0] + b * _SLOT[1] + moved).bitwiseAND(F.lit((1 << self.bits) - 1))
-        return F.get(table, slot).bitwiseXOR(a * (1 << 32) + b * 65536)
+        return rows.withColumns({f"_{c}": self.row.select(c).scalar() for c in self.names})
 
     def encode(self, word: Column) -> Column:
-        """Ids (array of long) of ``word``, an array of a word's bytes as longs.
+        """Ids (array of long) of ``word``, an array of a word's bytes as numbers from 0. It takes time that
+        grows with the square of a word's length.
 
         The fold's state has one number for each symbol: the rank of its pair with the next symbol
-        (65536 for none), times 65536, plus the symbol. Of equal ranks the leftmost is merged.
+        (65536 for none), the symbol's first place in the word, and the symbol. So numbers differ,
+        and the least one is the leftmost pair of the lowest rank.
         """
-        none = _NONE * _NONE
 
         def symbol(x: Column) -> Column:
             return x.bitwiseAND(F.lit(_NONE - 1))
 
-        def fold(table: Column, shift: Column, single: Column) -> Column:
-            def state(a: Column, b: Column) -> Column:
-                return F.least(self._rank(table, shift, a, b), F.lit(_NONE)) * _NONE + a
+        def fold(table: Column, base: Column, first: Column, last: Column) -> Column:
+            def paired(a: Column, b: Column) -> Column:
+                # exclusive-or with the left symbol leaves the pair's id, or a number of 65536 or more;
+                # the next symbol is null at the end, and ``least`` skips nulls
+                return F.least(F.get(table, F.get(base, a) + b).bitwiseXOR(a * _NONE), F.lit(_NONE)) * _PAIR
 
-            def start(s: Column) -> Column:
-                return F.concat(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), state),
-                                F.transform(F.slice(s, -1, 1), lambda x: x + none))
+            def start(x: Column, i: Column) -> Column:
+                return F.coalesce(F.get(first, x * 256 + F.get(word, i + 1)), F.get(last, x)) + i.cast("long") * _NONE
 
-            def merge(a: Column, m: Column, p: Column) -> Column:
-                # the pair of lowest rank m is at p and p + 1, from 1; its neighbours get new ranks
-                before = F.slice(a, F.greatest(p - 1, F.lit(1)), F.when(p > 1, 1).otherwise(0))
-                made = F.when(p + 1 < F.size(a), state(m, symbol(F.get(a, p + 1)))).otherwise(m + none)
-                return F.concat(F.slice(a, F.lit(1), F.greatest(p - 2, F.lit(0))),
-                                F.transform(before, lambda x: state(symbol(x), m)), F.array(made),
-                                F.slice(a, p + 2, F.size(a)))
+            def merge(a: Column, p: Column) -> Column:
+                # the pair of the least number is at p and p + 1, from 1; its neighbours get new ranks,
+                # what follows moves up by one, and a null is left at the end
+                new = F.shiftright(F.get(a, p - 1), _PAIR_BITS)
 
-            def step(a: Column, _: Column) -> Column:
-                def place(m: Column) -> Column:
-                    return F.array_position(F.transform(a, lambda x: F.shiftright(x, 16)), m).cast("int")
+                def place(x: Column, i: Column) -> Column:
+                    return (F.when(i >= p, F.get(a, i + 1)).when(i + 2 < p, x)
+                            .when(i + 1 < p, paired(symbol(x), new) + x.bitwiseAND(F.lit(_PAIR - 1)))
+                            .otherwise(paired(new, symbol(F.get(a, p + 1))) + x.bitwiseAND(F.lit(_PAIR - _NONE)) + new))
 
-                return _bound(F.shiftright(F.array_min(a), 16), lambda m: F.when(
-                    m < _NONE, _bound(place(m), lambda p: merge(a, m, p))).otherwise(a))
+                return F.transform(a, place)
 
-            symbols = F.transform(word, lambda b: F.get(single, b))
-            rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-            return F.aggregate(rounds, _bound(symbols, start), step, lambda a: F.transform(a, symbol))
+            def step(a: Column, _: Column) -> Column:
+                # the least number is looked for twice, which takes less than binding it
+                return F.when(F.array_min(a) < _NONE * _PAIR, _bound(
+                    F.array_position(a, F.array_min(a)).cast("int"), lambda p: merge(a, p))).otherwise(a)
+
+            # as many rounds as bytes are always enough
+            return F.aggregate(word, F.transform(word, start), step,
+                               lambda a: F.transform(F.filter(a, lambda x: x.isNotNull()), symbol))
 
-        folded = _bound(F.col("_table"), lambda t: _bound(F.col("_shift"), lambda h: _bound(
-            F.col("_single"), lambda g: fold(t, h, g))))
+        folded = _bound(F.col("_table"), lambda t: _bound(F.col("_base"), lambda h: _bound(
+            F.col("_first"), lambda g: _bound(F.col("_last"), lambda z: fold(t, h, g, z)))))
         return F.when(F.size(word) > 0, folded).otherwise(F.array().cast("array<bigint>"))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids: their binary pieces, concatenated (as hexadecimal digits, which
-        a literal array holds); null if an id is unknown."""
+        a literal array holds); an unknown id is an error."""
         pieces = F.split(F.lit(",".join(p.hex() for p in self.pieces)), ",")
-        return F.unhex(F.aggregate(ids, F.lit(""), lambda a, i: F.concat(a, F.get(pieces, i))))
+        return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, (i + 1).cast("int"))), ""))
 
 
 #: Letters, numerals and white space of Latin-1, for the tokenizer's pattern on bytes.
@@ -198,7 +179,7 @@ def split_words(text: str, pattern: regex.Pattern) -> tuple[list[bytes], bool]:
         return [x.encode("utf-8", "surrogatepass") for x in pattern.findall(text)], False
 
 
-_ROWS = pa.schema([("id", pa.int64()), ("word", pa.list_(pa.int64())), ("numbers", pa.binary())])
+_ROWS = pa.schema([("id", pa.int64()), ("word", pa.list_(pa.int16())), ("numbers", pa.binary())])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,7 +214,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for i in range(0, len(new), 20_000):
                 part = new[i:i + 20_000]
                 ends = np.r_[0, np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))]
-                values = np.frombuffer(b"".join(part), np.uint8).astype(np.int64)
+                values = np.frombuffer(b"".join(part), np.uint8).astype(np.int16)
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(len(part), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
                      pa.nulls(len(part), pa.binary())], schema=_ROWS)
@@ -243,7 +224,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def put_together(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, text = _Runs(np.dtype("<u4")), _Runs(np.dtype(np.uint8))
         for batch in batches(frames, 20_000):
-            is_word = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            is_word = batch.column(1).to_numpy(zero_copy_only=False)
             is_doc = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
             at = 0
             cuts = np.flatnonzero((is_word[1:] != is_word[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
@@ -258,20 +239,19 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 elif is_doc[at]:
                     for i in range(0, part.num_rows, 100):
                         own = part.slice(i, 100)
-                        numbers = [np.frombuffer(x, np.int32) for x in own.column(2).to_pylist()]
+                        numbers = own.column(2)
                         yield pa.RecordBatch.from_arrays(
-                            [own.column(0), pa.array([ids.gather(n) for n in numbers], pa.binary()),
-                             pa.array([text.gather(n) for n in numbers], pa.binary())], names=["id", "ids", "decoded"])
+                            [own.column(0), ids.gather(numbers), text.gather(numbers)], names=["id", "ids", "decoded"])
                 else:
                     ids, text = _Runs(np.dtype("<u4")), _Runs(np.dtype(np.uint8))
                 at = stop
 
     rows = (docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-            .mapInArrow(split, "id long, word array<bigint>, numbers binary"))
+            .mapInArrow(split, "id long, word array<smallint>, numbers binary"))
     codec = Codec(docs.sparkSession, ranks)
-    words = codec.bind(rows).select("id", "word", "numbers", F.when(
+    words = codec.bind(rows).select("id", F.col("word").isNotNull().alias("is_word"), "numbers", F.when(
         F.col("word").isNotNull(), codec.encode(F.col("word"))).alias("ids"))
-    whole = words.select("id", "word", "numbers", "ids", codec.decode(F.col("ids")).alias("decoded"))
+    whole = words.select("id", "is_word", "numbers", "ids", codec.decode(F.col("ids")).alias("decoded"))
     return whole.mapInArrow(put_together, "id long, ids binary, decoded binary")
 
 
@@ -295,21 +275,23 @@ class _Runs:
         self.stop[self.words + 1:self.words + n + 1] = used + np.cumsum(sizes)
         self.words += n
 
-    def gather(self, numbers: np.ndarray) -> bytes:
-        if not len(numbers):
-            return b""
-        start = self.stop[numbers]
-        sizes = self.stop[numbers + 1] - start
-        shift = np.repeat(start - np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        return self.flat[shift + np.arange(len(shift))].tobytes()
+    def gather(self, numbers: pa.BinaryArray) -> pa.BinaryArray:
+        """For each row (32-bit numbers of words, one after another) its words' runs, as bytes."""
+        ends = np.frombuffer(numbers.buffers()[1], np.int32)[numbers.offset:numbers.offset + len(numbers) + 1].astype(np.int64)
+        flat = np.frombuffer(numbers.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].view(np.int32)
+        start = self.stop[flat]
+        sizes = self.stop[flat + 1] - start
+        reached = np.r_[0, np.cumsum(sizes)]
+        data = self.flat[np.repeat(start - reached[:-1], sizes) + np.arange(reached[-1])]
+        offsets = reached[(ends - ends[0]) // 4] * data.itemsize
+        if offsets[-1] >= 1 << 31:  # too much for one array: row by row
+            return pa.array([data[a:b].tobytes() for a, b in zip(offsets[:-1] // data.itemsize, offsets[1:] // data.itemsize, strict=True)], pa.binary())
+        return pa.BinaryArray.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
 
 
 def encode_words(spark: SparkSession, words: list[bytes], ranks_path: str) -> list[list[int]]:
     """Ids of a few words, for tests."""
-    rows = spark.createDataFrame([(i, list(w)) for i, w in enumerate(words)], "i int, word array<bigint>")
+    rows = spark.createDataFrame([(i, list(w)) for i, w in enumerate(words)], "i int, word array<smallint>")
     codec = Codec(spark, Ranks.load(ranks_path))
     return [x["ids"] for x in codec.bind(rows).select("i", codec.encode(F.col("word")).alias("ids")).orderBy("i").collect()]
 
-
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

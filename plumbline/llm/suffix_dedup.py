@@ -22,7 +22,7 @@ all suffixes of a corpus in one place doesn't scale, so equal strings are first
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -328,21 +328,26 @@ def _copies(classes: DataFrame) -> DataFrame:
         F.lit(0).alias("start"), F.col("n").cast("int").alias("stop"))).alias("spans"))
 
 
-def _judge(quoted: DataFrame, length: int, most: int, blocks: tuple[int, ...]) -> DataFrame:
-    """Verdicts on the classes that are found once, of groups with several classes."""
-    found = (quoted.where(F.col("k") <= most).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
-             .mapInArrow(_sorter(length), _VERDICT))
-    large = quoted.where(F.col("k") > most)
-    if not blocks or large.isEmpty():
+def _judge(texts: Callable[[DataFrame], DataFrame], classes: DataFrame, length: int, most: int, blocks: tuple[int, ...]) -> DataFrame:
+    """Verdicts on all classes (``_KEY``, c, n and what ``texts`` needs): copies, and what a sort of each group with several
+    classes finds. ``texts`` adds bytes to classes with a group size k."""
+    kinds = materialise(classes.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "group-sizes")
+    split = bool(blocks) and not kinds.where(F.col("k") > most).isEmpty()
+    quoted = texts(classes.join(kinds, ["g1", "g2"]))
+    if split:
+        quoted = materialise(quoted, "quoted")
+    # sorting takes far longer than its bytes suggest, so small partitions aren't put together
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small = quoted.where(F.col("k") <= most) if split else quoted
+    found = _copies(classes).unionByName(small.repartition(tasks, "g1", "g2").sortWithinPartitions("g1", "g2").mapInArrow(_sorter(length), _VERDICT))
+    if not split:
         return found
-    pieces = materialise(large.mapInArrow(_pieces(length, blocks[0]), _PIECE), "pieces")
+    pieces = materialise(quoted.where(F.col("k") > most).mapInArrow(_pieces(length, blocks[0]), _PIECE), "pieces")
     same = F.when(F.min("bytes") == F.max("bytes"), F.min("bytes")).otherwise(
         F.raise_error(F.lit("two strings share one digest")).cast("binary"))
-    classes = materialise(pieces.groupBy(*_KEY).agg(
+    own = materialise(pieces.groupBy(*_KEY).agg(
         F.sum("c").alias("c"), F.min("n").alias("n"), F.min("place").alias("place"), same.alias("bytes")), "piece-classes")
-    kinds = materialise(classes.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "piece-groups")
-    several = materialise(classes.join(kinds, ["g1", "g2"]).select(*_KEY, "c", "k", "n", "place", "bytes"), "piece-quotes")
-    verdicts = materialise(_copies(classes).unionByName(_judge(several, length, most, blocks[1:])), "piece-verdicts")
+    verdicts = materialise(_judge(lambda x: x.select(*_KEY, "c", "k", "n", "place", "bytes"), own, length, most, blocks[1:]), "piece-verdicts")
     back = (pieces.select(*_PARENT, "at", *_KEY).join(verdicts, _KEY).select(*_PARENT, "at", F.explode("spans").alias("x"))
             .where("x.start < x.stop").groupBy(*_PARENT).agg(F.collect_list(F.struct(
                 (F.col("at") + F.col("x.start")).cast("int").alias("start"),
@@ -403,22 +408,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .withColumn("row", F.monotonically_increasing_id()), "segments")
     found = texts.select("row", F.explode("segments").alias("s")).select(
         "row", "s.start", "s.n", "s.place", F.col("s.anchor").alias("g1"), "s.d1", "s.d2")
-    # tables are written before they are joined, so adaptive execution can split a hot anchor's rows
-    several = materialise(found.groupBy("g1").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g1"),
-                          "repeated-anchors")
+    # the small sides of joins are written tables, so adaptive execution can split a hot anchor's rows
+    several = materialise(found.groupBy("g1").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g1"), "repeated-anchors")
     multi = materialise(found.join(several, "g1"), "shared-anchors")
+    release(several)
     classes = materialise(multi.groupBy("g1", "d1", "d2").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n", "place")).alias("first")).select(
             "g1", F.lit(0).cast("long").alias("g2"), "d1", "d2", "c", F.col("first.n").alias("n"), "first"), "classes")
-    kinds = materialise(classes.groupBy("g1").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "anchors")
-    wanted = (classes.join(kinds, "g1").groupBy("first.row").agg(F.collect_list(F.struct(
-        *_KEY, "c", "k", "first.start", "first.n", "first.place")).alias("wanted")))
-    quoted = materialise(
-        texts.select("row", "packed").join(wanted, "row").select("packed", "wanted")
-        .mapInArrow(_quote(length), ", ".join(f"{c} long" for c in [*_KEY, "c", "k", "n", "place"]) + ", bytes binary"),
-        "quoted")
-    verdicts = materialise(_copies(classes).unionByName(_judge(quoted, length, most, BLOCKS)), "verdicts")
-    release(several, classes, kinds, quoted)
+
+    def quotes(x: DataFrame) -> DataFrame:
+        """A class's bytes come from its first text, which lends all that is wanted of it at once."""
+        wanted = x.groupBy("first.row").agg(F.collect_list(F.struct(
+            *_KEY, "c", "k", "first.start", "first.n", "first.place")).alias("wanted"))
+        return texts.select("row", "packed").join(wanted, "row").select("packed", "wanted").mapInArrow(
+            _quote(length), ", ".join(f"{c} long" for c in [*_KEY, "c", "k", "n", "place"]) + ", bytes binary")
+
+    verdicts = _judge(quotes, classes, length, most, BLOCKS)
     marks = (multi.join(verdicts.drop("g2"), ["g1", "d1", "d2"]).select("row", "start", F.explode("spans").alias("x"))
              .groupBy("row").agg(F.collect_list(F.struct(
                  (F.col("start") + F.col("x.start")).alias("start"), (F.col("start") + F.col("x.stop")).alias("stop"))).alias("marks")))

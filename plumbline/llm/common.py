@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
-_WRITTEN: dict[str, SparkSession] = {}
+from plumbline.sources.scratch import materialise, release, release_since, written
+
+__all__ = ["batches", "components", "forest", "materialise", "materialise_alone", "numbered", "release", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,70 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode, where
-    one machine is all there is, a temporary folder of our own stands in for a missing setting;
-    on a cluster a missing setting is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="plumbline-"))
-    return _OWN_DIR[0]
-
-
-def _delete(path: str) -> None:
-    spark = _WRITTEN.pop(path)
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone at exit
-        return
-
-
-def _delete_written() -> None:
-    while _WRITTEN:
-        _delete(next(iter(_WRITTEN)))
-
-
-atexit.register(_delete_written)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage in a way that survives lost executors: the files are whole on shared
-    storage, not blocks on an executor's disk. A join of two such tables has a plain exchange on
-    either side, which adaptive execution can split where a key is hot. Deleted by
-    :func:`release`, or when the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out._plumbline_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete materialised tables that nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_plumbline_path", None)
-        if path in _WRITTEN:
-            _delete(path)
-
-
 def materialise_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """The materialised result of ``make``; what it materialised on the way is deleted."""
-    before = set(_WRITTEN)
+    before = written()
     out = materialise(make(), name)
-    for path in [p for p in _WRITTEN if p not in before and p != out._plumbline_path]:
-        _delete(path)
+    release_since(before, out)
     return out
 
 
@@ -94,10 +33,12 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def batches(frames: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``rows`` rows, which bounds what one step holds in memory."""
+    """Slices of at most ``rows`` rows, which bounds what one step holds in memory. At the end the worker,
+    which Spark keeps for other tasks, returns the memory that it doesn't use any more."""
     for batch in frames:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -137,7 +137,8 @@ def _tabled(rows: DataFrame, fixed: list[str], level: int, radius: int) -> DataF
 def links(distinct_fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (src, dst) that connect exactly what the links of ``distinct_fps`` (fp) connect."""
     first = _tabled(distinct_fps, [], 0, radius)
-    sizes = first.groupBy("t0", "k0").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so adaptive execution can split a large bucket's rows in the join
+    sizes = materialise(first.groupBy("t0", "k0").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     sized = first.join(sizes, ["t0", "k0"])
     small = sized.where(F.col("n") <= LIMIT).select("t0", "k0", F.lit(0).cast("long").alias("t1"),
                                                     F.lit(0).cast("long").alias("k1"), "fp")
@@ -412,8 +413,13 @@ def _proposer(most: int, prints: int):
                 cut = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1
                 starts, stops = np.r_[0, cut], np.r_[cut, len(rows)]
                 for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
-                    if e - s > 1:
-                        edges.append(np.stack(_stars(rows[s:e, 4:-1].copy().view(np.uint64), rows[s:e, -1], most)))
+                    own = rows[s:e, 4:]
+                    if e - s > LIMIT:  # like prints side by side; what their blocks part, the prefix filter finds
+                        own = own[np.lexsort(own.T[::-1])]
+                    for i in range(0, e - s, LIMIT):
+                        block = own[i:i + LIMIT]
+                        if len(block) > 1:
+                            edges.append(np.stack(_stars(block[:, :-1].copy().view(np.uint64), block[:, -1], most)))
             src, dst = np.concatenate(edges, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 

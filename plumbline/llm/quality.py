@@ -59,15 +59,18 @@ class LineRules:
     max_lost: float = 0.5  #: word characters that may go with failing lines
 
 
-_SEPARATORS = {b"|", "»".encode(), "›".encode(), "•".encode(), "·".encode()}
+SEPARATORS = ("|", "»", "›", "•", "·")
+_SEPARATORS = {x.encode() for x in SEPARATORS}
 _SYMBOL = re.compile(rb"[#*$%&<>]")
 _SHOUT = re.compile(rb"[!?]{2,}(?=[ \t\r\x0b\x0c]|$)")
 _ELLIPSES = (b"...", "…".encode(), "[…]".encode())
 #: A symbol or the year of a copyright, and a bare address, are boilerplate too.
-_BOILERPLATE = re.compile("|".join([*map(re.escape, BOILERPLATE), r"(?:©|\(c\)|copyright)\s*(?:©|\(c\))?\s*(?:19|20)\d\d",
-                                    r"^\s*(?:https?://|www\.)\S+\s*$"]).encode())
+NOTICE = "|".join([*BOILERPLATE, r"(?:©|\(c\)|copyright)[ \t]*(?:©|\(c\))?[ \t]*(?:19|20)[0-9][0-9]",
+                   r"^[ \t]*(?:https?://|www\.)[^ \t]+[ \t\r]*$"])
+_BOILERPLATE = re.compile(NOTICE)
 #: Marks that end or divide sentences: Latin, Greek, Arabic, Devanagari, Chinese and Japanese.
-_MARK = re.compile("[.!?:;,…]|\u037e|\u061b|\u061f|\u06d4|\u0964|\u3001|\u3002|\uff01|\uff0c|\uff1a|\uff1f".encode())
+MARKS = ".!?:;,…\u037e\u061b\u061f\u06d4\u0964\u3001\u3002\uff01\uff0c\uff1a\uff1f"
+_MARK = re.compile("|".join(map(re.escape, MARKS)).encode())
 
 
 def entries(words: list[list[bytes]], lines: list[bytes], rules: LineRules) -> list[bool]:
@@ -100,7 +103,7 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> str:
         return "punctuation"
     if n <= rules.max_teaser_words and words[-1].endswith(_ELLIPSES):
         return "punctuation"
-    if n <= rules.max_boilerplate_words and _BOILERPLATE.search(line.lower()):
+    if n <= rules.max_boilerplate_words and _BOILERPLATE.search(line.decode("utf-8", "surrogatepass").lower()):
         return "boilerplate"
     return ""
 

@@ -83,7 +83,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_quality_rules, op4_toxicity, op5_simhash, op6_secret_scan, op7_lm_score, op8_exact_dedup, op9_packing, op10_warc_derivatives)
 }
 
+def _quality_sql(rules: quality.LineRules = quality.LineRules()) -> str:
+    """The line rules and word statistics in SQL; a run of menu entries is an island of short lines without marks."""
+    words = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+    quoted = quality.NOTICE.replace("'", "''")
+    count = "len(list_filter(ws, lambda x: {}))"
+    return rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, {words.format('t')} AS ws FROM d),
+        spots AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+        grams AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM spots),
+        again AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM grams, (SELECT unnest([0, 1, 2]) AS k) o WHERE n > 1 GROUP BY doc_id),
+        split AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS line_no FROM d),
+        lines AS (SELECT * FROM (SELECT doc_id, line, line_no, {words.format('line')} AS ws FROM split) s WHERE len(ws) > 0),
+        menu AS (SELECT *, len(ws) <= {rules.max_entry_words} AND NOT regexp_matches(line, '[{quality.MARKS}]') AS entry,
+            row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place FROM lines),
+        islands AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, entry ORDER BY line_no) AS island FROM menu),
+        judged AS (SELECT doc_id, line, list_sum(list_transform(ws, lambda x: strlen(x))) AS size,
+            (entry AND count(*) OVER (PARTITION BY doc_id, entry, island) > {rules.max_entries})
+            OR {count.format(f"x IN ({', '.join(repr(x) for x in quality.SEPARATORS)})")} > {rules.max_bars} * len(ws)
+            OR {count.format("regexp_matches(x, '[#*$%&<>]')")} > {rules.max_symbol_words} * len(ws)
+            OR {count.format("regexp_matches(x, '[!?][!?]$')")} > {rules.max_shouted} * len(ws)
+            OR (len(ws) <= {rules.max_teaser_words} AND regexp_matches(ws[len(ws)], '(?:\.\.\.|…|\[…\])$'))
+            OR (len(ws) <= {rules.max_boilerplate_words} AND regexp_matches(lower(line), '{quoted}')) AS fails FROM islands),
+        sums AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count_if(fails) AS lines_removed,
+            sum(CASE WHEN fails THEN size ELSE 0 END) AS bytes_removed, sum(size) AS total FROM judged GROUP BY doc_id),
+        base AS (SELECT w.doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
+            length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+            coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(lines_removed, 0) AS lines_removed, coalesce(bytes_removed, 0) AS bytes_removed,
+            coalesce(total, 0) AS total FROM w LEFT JOIN again ON again.doc_id = w.doc_id LEFT JOIN sums ON sums.doc_id = w.doc_id)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+            CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+            n_words < {rules.min_words} OR n_repeat_words > {rules.max_repeat} * n_words AS base_failed,
+            NOT (n_words < {rules.min_words} OR n_repeat_words > {rules.max_repeat} * n_words) AND bytes_removed <= {rules.max_lost} * total AS kept,
+            CAST(lines_removed AS BIGINT) AS lines_removed, CAST(bytes_removed AS BIGINT) AS bytes_removed FROM base"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": _quality_sql(),
     "op8_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -120,6 +120,21 @@ def _quality_sql(rules: quality.LineRules = quality.LineRules()) -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    # strings by their digests; runs of overlapping or touching strings; what lies between the runs
+    "op2_suffix_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        starts AS (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d WHERE octet_length(b) >= 400),
+        digests AS (SELECT r, i, md5(b[i:i + 399]) AS m FROM starts),
+        again AS (SELECT m FROM digests GROUP BY m HAVING count(*) > 1),
+        hits AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM digests JOIN again USING (m)),
+        runs AS (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM hits),
+        spans AS (SELECT r, run, min(i) AS first, max(i) + 400 AS past FROM runs GROUP BY r, run),
+        gaps AS (SELECT r, first, past, coalesce(lag(past) OVER (PARTITION BY r ORDER BY first), 1) AS opens FROM spans),
+        kept AS (SELECT g.r, count(*) AS n_spans, sum(past - first) AS n_removed, max(past) AS last, string_agg(hex(b[opens:first - 1]), '' ORDER BY first) AS left_hex
+            FROM gaps g JOIN d ON d.r = g.r GROUP BY g.r)
+        SELECT doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(from_hex(left_hex || hex(b[last:]))) END AS kept_sha256
+        FROM d LEFT JOIN kept ON kept.r = d.r""",
     "op3_quality_rules": _quality_sql(),
     "op8_exact_dedup": r"""
         WITH d AS (

@@ -663,6 +663,37 @@ def test_plain_text(page, text):
     assert warc.plain_text(page) == text
 
 
+def test_queries_equal_their_sql(spark):
+    """On the smallest tables, and on one of awkward texts."""
+    import duckdb
+
+    from plumbline.llm import queries
+    texts = [None, "", " ", "one line", "a\n\nb c\n", "|\n|\n|", "w\n" * 30, "ab " * 300, "ab " * 301, "é" * 401, "x" * 399, "y" * 400, "z" * 802,
+             "\n".join(["Home", "About us", "Contact", "Imprint", "Long enough line of plain words here."] * 12),
+             "\n".join(f"Line {i} says something new {i}." for i in range(30)) + "\nMENTIONS LÉGALES\n© 2020 X\nhttps://e.example/a",
+             "A teaser that goes on ...\n" + " ".join(f"word{i}" for i in range(60)) + "."]
+    own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toPandas()
+    for folder in ("/root/testdata/sf0.001", None):
+        con = duckdb.connect()
+        if folder:
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+        else:
+            con.register("documents", own)
+        for name, sql in queries.ORACLE_SQL.items():
+            expected = con.execute(sql).df()
+            if folder:
+                found = queries.QUERIES[name](spark, folder)
+            elif name == "op2_suffix_dedup":
+                found = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(
+                    F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+            elif name == "op3_quality_rules":
+                found = quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).withColumnRenamed("id", "doc_id")
+            else:
+                continue
+            rows = lambda df: sorted(map(str, df[sorted(df.columns)].astype(object).values.tolist()))
+            assert rows(found.toPandas()) == rows(expected), name
+
+
 def parsed_text(page):
     """Visible text by Python's own HTML parser."""
     from html.parser import HTMLParser

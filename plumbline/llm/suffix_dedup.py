@@ -410,11 +410,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "row", "s.start", "s.n", "s.place", F.col("s.anchor").alias("g1"), "s.d1", "s.d2")
     # the small sides of joins are written tables, so adaptive execution can split a hot anchor's rows
     several = materialise(found.groupBy("g1").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g1"), "repeated-anchors")
-    multi = materialise(found.join(several, "g1"), "shared-anchors")
+    # these rows are small and quickly made: a file for every four partitions spares the shared storage
+    files = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
+    multi = materialise(found.join(several, "g1").coalesce(files), "shared-anchors")
     release(several)
     classes = materialise(multi.groupBy("g1", "d1", "d2").agg(
         F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n", "place")).alias("first")).select(
-            "g1", F.lit(0).cast("long").alias("g2"), "d1", "d2", "c", F.col("first.n").alias("n"), "first"), "classes")
+            "g1", F.lit(0).cast("long").alias("g2"), "d1", "d2", "c", F.col("first.n").alias("n"), "first").coalesce(files), "classes")
 
     def quotes(x: DataFrame) -> DataFrame:
         """A class's bytes come from its first text, which lends all that is wanted of it at once."""

@@ -160,10 +160,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = rows.groupBy("fp").agg(F.min("id").alias("least"))
     linked = components(links(own.select("fp"), radius)).withColumnsRenamed({"node": "fp", "component": "root"})
     members = own.join(linked, "fp")
-    roots = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so the rows of a large component needn't meet in one task by their root
+    roots = materialise(members.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     named = members.join(roots, "root").select("fp", F.col("component_id").alias("wider"))
     # written, so adaptive execution can split the rows of a fingerprint that many texts have
     found = materialise(own.join(named, "fp", "left").select("fp", F.coalesce("wider", "least").alias("component_id")), "named")
+    release(roots)
     return rows.join(found, "fp").select("id", "fp", "component_id")
 
 

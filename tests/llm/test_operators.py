@@ -303,6 +303,24 @@ def test_near_components_awkward(awkward, empty):
     assert simhash.near_components(empty).count() == 0
 
 
+def test_near_components_large_component(spark, monkeypatch):
+    # 300 fingerprints in one component, a bit apart each, and 20 far apart; the component's rows don't meet by their root
+    prints = [k ^ k >> 1 for k in range(300)] + [((1 << 12) - 1) << 20 | k * 0x1084210842 << 28 & (1 << 62) - 1 for k in range(1, 21)]
+    far = [x for x in prints[300:] if all((x ^ y).bit_count() > 2 for y in prints if y != x)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(prints[:300] + far, 7)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs.select(F.col("doc_id").alias("id"), "fp"))
+    plans = {}
+
+    def noted(found, name, write=simhash.materialise):
+        plans[name] = found._jdf.queryExecution().executedPlan().toString()
+        return write(found, name)
+
+    monkeypatch.setattr(simhash, "materialise", noted)
+    found = {r["id"]: r["component_id"] for r in simhash.near_components(df).collect()}
+    assert far and found == {i: 7 if i < 307 else i for i in range(7, 307 + len(far))}
+    assert "hashpartitioning(fp" in plans["named"] and "hashpartitioning(root" not in plans["named"]
+
+
 def test_keep_one_of_near_copies(spark, empty):
     rng = np.random.default_rng(9)
     words = lambda n: [f"w{int(x)}" for x in rng.integers(0, 100000, n)]

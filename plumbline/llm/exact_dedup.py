@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialise, numbered
+from plumbline.llm.common import fewer, materialise, numbered
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 #: 2**65: room for one id (2**64 values and null) below the text length in the ranking number.
@@ -86,7 +86,8 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with all their columns; edge cases as :func:`exact_dedup`.
 
     Columns may have any names. The join's keys hold the row's id beside the digest, so copies of a
-    text are spread over its tasks.
+    text are spread over its tasks. The result has a partition for every four of the join's: each file that
+    a task opens on a local file system starts a child process, which counts the JVM's memory twice meanwhile.
     """
     own = numbered(docs)
     key = F.col(f"c{docs.columns.index(id_col)}").cast("long")
@@ -99,5 +100,5 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = own.withColumns({"digest": F.unhex(F.sha2(normalised(text), 256)), "length": F.length(text).cast("long"),
                            "known": key.isNotNull(), "id": F.coalesce(key, F.lit(0))})
     one = Window.partitionBy(*keys).orderBy(F.lit(1))
-    return (own.join(found, keys).withColumn("place", F.row_number().over(one)).where("place = 1")
-            .select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns))
+    return fewer(own.join(found, keys).withColumn("place", F.row_number().over(one)).where("place = 1")
+                 .select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns))

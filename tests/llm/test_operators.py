@@ -575,6 +575,23 @@ def test_exact_dedup(spark, awkward, empty):
     assert exact_dedup.exact_dedup(rows.where("doc_id is null")).first()["keep_id"] is None
 
 
+def test_kept_rows_lie_in_few_files(spark, tmp_path):
+    """A task opens a file for every four partitions of the join."""
+    cores = spark.sparkContext.defaultParallelism
+    settings = {"spark.sql.shuffle.partitions": str(8 * cores), "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    docs = spark.range(2000).selectExpr("id % 1900 as doc_id", "concat('text ', id % 1900) as text")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        exact_dedup.keep_exact(docs).write.parquet(str(tmp_path / "kept"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(list((tmp_path / "kept").glob("*.parquet"))) <= 2 * cores
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == list(range(1900))
+
+
 def test_exact_dedup_guard(spark, monkeypatch):
     """Two texts under one digest end the query."""
     from pyspark.errors import PySparkException

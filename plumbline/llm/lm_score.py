@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import batches, materialise
+from plumbline.llm.common import batches, materialise, release
 
 TOKENS = 4096  #: token ids; 0 pads
 OWN = 3072  #: ids of single words; the other ids are shared by hash
@@ -48,6 +49,8 @@ SHARD_TOKENS = 4_000_000
 _WINDOW = 1 << 20
 _OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
 _BLOCK = 1 << 11
+#: Last bits of a hash by which a vocabulary finds its place.
+_PLACE_BITS = 20
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -59,26 +62,43 @@ def word_hashes(text: str | None) -> np.ndarray:
 @dataclass(frozen=True)
 class Vocabulary:
     """``own``: ascending hashes of the words with ids of their own; ``ids``: these ids, by falling
-    frequency from 1; ``shared``: the number of ids that other words share, the last ones."""
+    frequency from 1; ``shared``: the number of ids that other words share, the last ones; ``place``: at a
+    hash's last bits the place in ``own`` where that hash, if any, would be."""
 
     own: np.ndarray
     ids: np.ndarray
     shared: int
+    place: np.ndarray
 
     @classmethod
     def of(cls, frequent: np.ndarray, shared: int) -> Vocabulary:
         order = np.argsort(frequent, kind="stable")
-        return cls(frequent[order], (order + 1).astype(np.int32), shared)
+        own = frequent[order]
+        place = np.zeros(1 << _PLACE_BITS, np.int16)
+        place[own & ((1 << _PLACE_BITS) - 1)] = np.arange(len(own))
+        return cls(own, (order + 1).astype(np.int32), shared, place)
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, and which of them share their id."""
-        ids = (TOKENS - self.shared + np.mod(hashes, self.shared)).astype(np.int32)
         if not len(self.own):
-            return ids, np.ones(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
-        known = self.own[at] == hashes
-        ids[known] = self.ids[at[known]]
-        return ids, ~known
+            return (TOKENS - self.shared + np.mod(hashes, self.shared)).astype(np.int32), np.ones(len(hashes), bool)
+        at = self.place[hashes & ((1 << _PLACE_BITS) - 1)]
+        ids, other = self.ids[at], np.flatnonzero(self.own[at] != hashes)
+        rest = hashes[other]
+        # own words whose place another own word has taken are searched for
+        near = np.minimum(np.searchsorted(self._hidden, rest), len(self._hidden) - 1) if len(self._hidden) else None
+        if near is not None:
+            found = self._hidden[near] == rest
+            ids[other[found]] = self.ids[np.searchsorted(self.own, rest[found])]
+            other, rest = other[~found], rest[~found]
+        ids[other] = TOKENS - self.shared + np.mod(rest, self.shared)
+        shares = np.zeros(len(hashes), bool)
+        shares[other] = True
+        return ids, shares
+
+    @cached_property
+    def _hidden(self) -> np.ndarray:
+        return self.own[self.place[self.own & ((1 << _PLACE_BITS) - 1)] != np.arange(len(self.own))]
 
 
 SHAPES = {"embed": (TOKENS, DIM), "place": (2 * SIDE, DIM), "bias": (DIM,), "w1": (DIM, TOKENS // CLASS),
@@ -142,11 +162,12 @@ class Network:
         du = p2 @ w["w2"].T
         dz = np.zeros((n, DIM), np.float32)
         dz[at] = (p1 @ w["w1"].T + du) * (1 - h * h)
-        grads = {"w1": h.T @ p1, "b1": p1.sum(0), "w2": u.T @ p2, "b2": p2.sum(0), "bias": dz.sum(0),
+        one = np.ones(max(n, len(at)), np.float32)
+        grads = {"w1": h.T @ p1, "b1": one[:len(at)] @ p1, "w2": u.T @ p2, "b2": one[:len(at)] @ p2, "bias": one[:n] @ dz,
                  "cls": _scatter(c1, du, TOKENS // CLASS), "place": np.empty((2 * SIDE, DIM), np.float32)}
         back = np.zeros(x.shape, np.float32)
         for p, o in enumerate(_OFFSETS):
-            grads["place"][p] = (dz * x[SIDE + o:SIDE + o + n]).sum(0)
+            grads["place"][p] = one[:n] @ (dz * x[SIDE + o:SIDE + o + n])
             back[SIDE + o:SIDE + o + n] += dz * w["place"][p]
         grads["embed"] = _scatter(line, back, TOKENS)
         return {k: g / np.float32(len(at)) for k, g in grads.items()}
@@ -173,7 +194,8 @@ def _softmax(logits: np.ndarray, rows: np.ndarray, at: np.ndarray, normed: bool)
 
 
 def _scatter(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, weights=values[:, k], minlength=n) for k in range(DIM)], axis=1).astype(np.float32)
+    places = np.multiply(at, DIM, dtype=np.int64)[:, None] + np.arange(DIM)
+    return np.bincount(places.ravel(), weights=values.ravel(), minlength=n * DIM).reshape(n, DIM).astype(np.float32)
 
 
 def lines(ids: list[np.ndarray]) -> Iterator[np.ndarray]:
@@ -299,17 +321,19 @@ def train(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> Network:
 
     schema = "block int, shard int, tokens double, values binary"
     # a row's round and shard follow from its content; only identical rows share them of necessity
-    keyed = texts.withColumns({
-        "round": F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(ROUNDS[-1])),
-        "key": F.struct(F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(shards)).cast("int").alias("shard"),
-                        F.xxhash64("id", "text").alias("place"))})
+    keyed = texts.select(F.struct(
+        F.pmod(F.xxhash64("id", "text", F.lit(1)), F.lit(ROUNDS[-1])).cast("int").alias("round"),
+        F.pmod(F.xxhash64("id", "text", F.lit(2)), F.lit(shards)).cast("int").alias("shard"),
+        F.xxhash64("id", "text").alias("place")).alias("key"), "text")
+    # all rounds read the token ids, two bytes each, and none the texts
+    numbers = materialise(keyed.mapInArrow(tokenise, "key struct<round:int,shard:int,place:long>, ids binary")
+                          .where("length(ids) > 0").select("key.*", "ids"), "tokens")
     now = Network.fresh()
     seen = np.full(len(now.flat()), 1e-4, np.float32)
     for first, stop in zip((0, *ROUNDS), ROUNDS, strict=False):
         start = context.broadcast((now.flat(), seen))
-        dealt = (keyed.where((F.col("round") >= first) & (F.col("round") < stop)).select("key", "text")
-                 .mapInArrow(tokenise, "key struct<shard:int,place:long>, ids binary").where("length(ids) > 0")
-                 .select("key.shard", "key.place", "ids").repartition(shards, "shard")
+        dealt = (numbers.where((F.col("round") >= first) & (F.col("round") < stop))
+                 .select("shard", "place", "ids").repartition(shards, "shard")
                  .sortWithinPartitions("shard", "place", "ids").select("shard", "ids"))
         made = dealt.mapInArrow(learner(start), schema)
         # averages of up to _SALTS groups of shards meet, then one average per block: no task sees all copies
@@ -324,6 +348,7 @@ def train(texts: DataFrame, vocabulary: Vocabulary, shards: int) -> Network:
         if blocks:
             both = np.concatenate([(blocks[b][1] / blocks[b][0]).astype(np.float32) for b in sorted(blocks)])
             now, seen = Network.of(both[:len(seen)]), both[len(seen):]
+    release(numbers)
     return now
 
 

@@ -543,6 +543,32 @@ def test_gradients_equal_differences():
             assert g[at] == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=1e-5)
 
 
+def test_training_reads_texts_once(spark):
+    """A count and one pass that makes token ids, whatever the number of rounds."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(i):
+        read.add(1)
+        return f"the word {i} and the word {i % 7}"
+
+    lm_score.fit(spark.range(200).select(F.col("id").alias("doc_id"), text("id").alias("text")))
+    assert read.value == 400
+
+
+def test_vocabulary_equals_a_dictionary():
+    """Own words that end in the same bits too."""
+    rng = np.random.default_rng(3)
+    own = np.unique(np.r_[rng.integers(-(1 << 63), 1 << 63, 300), (np.arange(-4, 4) << 40) + 5])
+    own = rng.permutation(own)
+    vocabulary = lm_score.Vocabulary.of(own, 1023)
+    hashes = rng.permutation(np.r_[own, own, rng.integers(-(1 << 63), 1 << 63, 500), (np.arange(-9, 9) << 50) + 5])
+    known = {int(h): i + 1 for i, h in enumerate(own)}
+    ids, some = vocabulary(hashes)
+    assert ids.tolist() == [known.get(h, lm_score.TOKENS - 1023 + h % 1023) for h in hashes.tolist()]
+    assert some.tolist() == [h not in known for h in hashes.tolist()]
+
+
 def test_documents_found_twice_score_higher(spark):
     rng = np.random.default_rng(10)
     texts = [" ".join(f"u{i}x{int(x)}" for x in rng.integers(0, 10**6, 60)) for i in range(40)]

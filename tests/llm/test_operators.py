@@ -47,6 +47,24 @@ def test_bpe_equals_tiktoken(spark, awkward, empty):
     assert bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_tasks_share_words(spark, tmp_path):
+    """Splits of a table are joined, so that a word is folded in fewer tasks; no row changes."""
+    from plumbline.llm.queries import op1_bpe
+    cores, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.openCostInBytes")
+    rows = [(i, f"words that come again, and {i} é" if i % 7 else None) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8 * cores)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a split for each file
+        found = op1_bpe(spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() == 4 * cores
+        got = {r["doc_id"]: (r["ids_sha256"], r["n_tokens"]) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    apart = bpe.encode(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert got == {r["id"]: (hashlib.sha256(r["ids"]).hexdigest(), len(r["ids"]) // 4) for r in apart} and len(got) == 400
+
+
 def test_bpe_words(spark):
     assert bpe.encode_words(spark, [b"a", b" the", bytes(range(256))], RANKS)[1] != []
     ranks = bpe.Ranks.load(RANKS)
